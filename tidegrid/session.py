@@ -64,10 +64,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; it is read up to rows + 1."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
+    """``df`` with a broadcast hint if it is small, else as it is.
 
-    Use it on staged or small tables: the check reads ``df`` up to rows + 1.
-    Beyond the bound the join is left to AQE (sort-merge with skew splitting).
+    Use it on staged or small tables. Beyond the bound the join is left to AQE
+    (sort-merge with skew splitting).
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
