@@ -185,3 +185,26 @@ def test_checks_report(spark):
     assert [(r.check_name, r.actual, r.status) for r in out.collect()] == [("none", 0, "pass"), ("surplus", 1, "fail")]
     with pytest.raises(AssertionError, match="surplus"):
         checks.require(out)
+
+
+def test_views(spark):
+    t = lambda d: datetime.datetime(2025, 1, d)
+    from tidegrid.operators.serving import Warehouse
+
+    dims = spark.createDataFrame([("A", "s2", "equity", "USD", "tech", True), ("A", "s1", "equity", "EUR", "tech", True), ("A", "s1", "equity", "EUR", "old", False)], "symbol string, source string, asset_class string, reporting_currency string, sector string, is_current boolean")
+    risk = spark.createDataFrame([("A", t(1), "ok"), ("A", t(2), "warn"), ("B", t(1), "ok")], "symbol string, ts_ingest timestamp, volatility_status string")
+    dq = spark.createDataFrame([(1, t(1), "ok", "ok", "ok"), (2, t(2), "ok", "critical", "ok")], "metric_id bigint, ts_ingest timestamp, required_fields_status string, null_rate_status string, value_validity_status string")
+    grain = "portfolio_id string, definition_fingerprint string, model_version string, weighting_method string, covariance_method string, correlation_method string, covariance_window int, annualization_days int, ts_event timestamp"
+    attribution = spark.createDataFrame(
+        [("p", "f", "v", "w", "c", "r", 3, 252, t(3), t(4), c, t(1), t(3), '{"A": {"A": 1.5, "B": 0.5}}', '{"A": {"A": 1.0, "B": null}}') for c in ("c1", "c2")],
+        grain + ", ts_ingest timestamp, calculation_id string, window_start timestamp, window_end timestamp, covariance_annualized_json string, correlation_json string",
+    )
+    w = Warehouse({"symbol_dimension_history": dims, "risk_summary": risk, "data_quality_metrics": dq, "portfolio_risk_attribution": attribution})
+    rows = {r.symbol: r for r in w.finance_risk_semantic_model().collect()}
+    assert (rows["A"].source, rows["A"].volatility_status, rows["A"].null_rate_status) == ("s1", "warn", "critical") and rows["B"].source is None
+    assert sorted((r.calculation_id, r.column_constituent_key, r.covariance_annualized) for r in w.portfolio_covariance_model().collect()) == [("c2", "A", 1.5), ("c2", "B", 0.5)]
+    assert [(r.column_constituent_key, r.correlation, r.correlation_undefined) for r in w.portfolio_correlation_model().orderBy("column_constituent_key").collect()] == [("A", 1.0, False), ("B", None, True)]
+    assert [r.symbol for r in w.elevated_symbols("2025-01-02 12:00:00").collect()] == ["A"]
+    made = w.register(spark, "v_")
+    assert "v_latest_risk_summary" in made and spark.sql("select * from v_latest_risk_summary").count() == 2
+    assert len(w.names()) == 33

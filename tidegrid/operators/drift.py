@@ -214,7 +214,7 @@ def recorded(metrics: DataFrame, column: str, fields: tuple[str, ...]) -> DataFr
     text = F.col(column)
     whole = F.is_variant_null(F.try_parse_json(text)).isNotNull()
     entries = F.when(whole & F.json_object_keys(text).isNotNull(), F.map_entries(F.from_json(text, "map<string,string>")))
-    value = lambda f: F.coalesce(F.array_max(F.transform(F.filter("_e", lambda e: F.lower(F.trim(e["key"])) == f), lambda e: e["value"].try_cast("double"))), F.lit(0.0))
+    value = lambda f: F.coalesce(F.array_max(F.transform(F.filter("_e", lambda e: F.lower(trimmed(e["key"])) == f), lambda e: e["value"].try_cast("double"))), F.lit(0.0))
     rows = metrics.select("metric_id", F.col("batch_id").alias("load"), entries.alias("_e")).where("_e is not null")
     return rows.select("metric_id", "load", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), value(f).alias("value")) for f in fields))).alias("v")).select("metric_id", "load", "v.*")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.text import id_key, symbol_key
 from tidegrid.operators import checks, daily, limits, market, portfolio, quality, versions
+from tidegrid.operators.serving import Warehouse
 from tidegrid.sources import stores
 from tidegrid.sources.tables import table
 from tidegrid.session import stage
@@ -455,4 +456,50 @@ def checks_outbox(spark, folder):
     return checks.outbox_checks(_outbox(spark, folder), _current_outbox(spark, folder), table(spark, folder, "portfolio_risk_limit_evaluations"))
 
 
+
+def _warehouse(spark, folder):
+    names = ("data_quality_metrics", "portfolio_daily_returns", "portfolio_risk_attribution", "portfolio_risk_limit_evaluations", "portfolio_risk_notification_outbox")
+    return Warehouse({n: table(spark, folder, n).dropDuplicates() for n in names})
+
+
+@query
+def view_latest_attribution(spark, folder):
+    return _warehouse(spark, folder).latest_portfolio_risk_attribution().select("portfolio_id", us("ts_event").alias("event_us"), "calculation_id", *r6("portfolio_volatility_annualized"))
+
+
+@query
+def view_volatility_contributions(spark, folder):
+    return _warehouse(spark, folder).portfolio_volatility_contribution_model().select("calculation_id", "constituent_key", *r6("contribution_share"))
+
+
+@query
+def view_breaches(spark, folder):
+    return _warehouse(spark, folder).portfolio_risk_limit_breaches().select("calculation_id", "metric_name", "status", *r6("breach_excess"))
+
+
+@query
+def view_contributions(spark, folder):
+    return _warehouse(spark, folder).portfolio_daily_contribution_model().select("calculation_id", "component", *r6("contribution"))
+
+
+@query
+def view_pending(spark, folder):
+    return _warehouse(spark, folder).portfolio_risk_notification_pending().select("event_id", "transition_type").distinct()
+
+
+@query
+def view_suppressed(spark, folder):
+    return _warehouse(spark, folder).portfolio_risk_notification_suppressed().select("event_id", "suppression_reason").distinct()
+
+
+@query
+def ops_health(spark, folder):
+    return _warehouse(spark, folder).pipeline_health()
+
+
+@query
+def ops_incidents(spark, folder):
+    return _warehouse(spark, folder).recent_incidents().select("metric_id", us("ts_ingest").alias("ingest_us"))
+
+
 from tidegrid.plans.catalogue_sql import ORACLES  # noqa: E402, F401

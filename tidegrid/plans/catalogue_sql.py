@@ -130,6 +130,7 @@ PMAPS = f"""pm AS (
     CASE WHEN {_OBJ.format('weights_json')} THEN weights_json END AS w, CASE WHEN {_OBJ.format('component_returns_json')} THEN component_returns_json END AS r, CASE WHEN {_OBJ.format('contributions_json')} THEN contributions_json END AS c
   FROM portfolio_daily_returns),
 pe AS (SELECT calculation_id, k, CAST(json_extract_string(w, '$."' || k || '"') AS DOUBLE) AS wv, CAST(json_extract_string(r, '$."' || k || '"') AS DOUBLE) AS rv, CAST(json_extract_string(c, '$."' || k || '"') AS DOUBLE) AS cv FROM (SELECT *, unnest(json_keys(c)) AS k FROM pm WHERE w IS NOT NULL AND r IS NOT NULL AND c IS NOT NULL))"""
+ATTRIBUTED = "la AS (SELECT * FROM (SELECT DISTINCT * FROM portfolio_risk_attribution) QUALIFY row_number() OVER (PARTITION BY portfolio_id, definition_fingerprint, model_version, weighting_method, covariance_method, correlation_method, covariance_window, annualization_days, ts_event ORDER BY ts_ingest DESC NULLS LAST, calculation_id DESC NULLS LAST) = 1)"
 DAYS = f"dn AS (SELECT *, {_id('source')} AS s, {_sym('symbol')} AS y FROM daily_returns WHERE ts_event IS NOT NULL),\ndl AS (SELECT * FROM dn QUALIFY row_number() OVER (PARTITION BY s, y, ts_event ORDER BY ts_ingest DESC NULLS LAST, calculation_id DESC NULLS LAST) = 1)"
 
 ORACLES = {
@@ -240,6 +241,18 @@ JOIN (SELECT portfolio_id, definition_fingerprint, d, list(id) OVER (PARTITION B
         PARTS, ALIGNED, MATRIX, EULER, RETURN_IDS,
     ),
     "portfolio_return_ids": _rows(f"SELECT portfolio_id, definition_fingerprint, {_day('d * 86400000000')} AS day, id AS calculation_id FROM pri", PARTS, ALIGNED, RETURN_IDS),
+    "view_latest_attribution": _rows("SELECT portfolio_id, epoch_us(ts_event) AS event_us, calculation_id, round(portfolio_volatility_annualized, 6) AS portfolio_volatility_annualized FROM la", ATTRIBUTED),
+    "view_volatility_contributions": _rows(
+        f"""SELECT calculation_id, k AS constituent_key, round(CAST(json_extract_string(component_contribution_share_json, '$."' || k || '"') AS DOUBLE), 6) AS contribution_share FROM (SELECT *, unnest(json_keys(component_contribution_share_json)) AS k FROM la WHERE {_OBJ.format('component_contribution_share_json')})""",
+        ATTRIBUTED,
+    ),
+    "view_breaches": _rows("SELECT calculation_id, metric_name, status, round(breach_excess, 6) AS breach_excess FROM lat WHERE is_breach", LATEST.replace(" WHERE ts_event IS NOT NULL", "")),
+    "view_contributions": f"""SELECT calculation_id, k AS component, round(CAST(json_extract_string(contributions_json, '$."' || k || '"') AS DOUBLE), 6) AS contribution FROM (
+  SELECT *, unnest(json_keys(contributions_json)) AS k FROM (SELECT * FROM (SELECT DISTINCT * FROM portfolio_daily_returns) QUALIFY row_number() OVER (PARTITION BY portfolio_id, definition_fingerprint, model_version, weighting_method, ts_event ORDER BY ts_ingest DESC NULLS LAST, calculation_id DESC NULLS LAST) = 1) WHERE {_OBJ.format('contributions_json')})""",
+    "view_pending": _rows("SELECT DISTINCT event_id, transition_type FROM cob WHERE delivery_disposition = 'pending'", OUTBOX, LATEST, TRANSITIONS, CURRENT),
+    "view_suppressed": _rows("SELECT DISTINCT event_id, suppression_reason FROM cob WHERE delivery_disposition = 'suppressed'", OUTBOX, LATEST, TRANSITIONS, CURRENT),
+    "ops_health": "SELECT metric_id, total_events, deduped_events, duplicate_events, CAST(round(CAST(duplicate_rate AS DECIMAL(38, 12)) * 100, 2) AS DOUBLE) AS duplicate_rate_pct, late_events, CAST(round(CAST(late_rate AS DECIMAL(38, 12)) * 100, 2) AS DOUBLE) AS late_rate_pct, late_status, duplicate_status FROM (SELECT DISTINCT * FROM data_quality_metrics) ORDER BY ts_ingest DESC NULLS LAST, metric_id DESC LIMIT 1",
+    "ops_incidents": "SELECT metric_id, epoch_us(ts_ingest) AS ingest_us FROM (SELECT DISTINCT * FROM data_quality_metrics) WHERE required_fields_status <> 'ok' OR null_rate_status <> 'ok' OR value_validity_status <> 'ok' OR late_status <> 'ok' OR duplicate_status <> 'ok' ORDER BY ts_ingest DESC NULLS LAST, metric_id DESC LIMIT 50",
     "checks_core": _rows(
         _suite(
             _check("core_deduped_ids_unique", _surplus("dd", "event_id")),

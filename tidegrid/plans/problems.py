@@ -23,11 +23,11 @@ def _rolled(spark: SparkSession, folder: str) -> DataFrame:
     """Trailing totals of the three series, keyed by (series, entity)."""
     parts = None
     for name, value in (("returns_1m", "return_1m"), ("volatility_5m", "volatility_5m")):
-        rows = table(spark, folder, name).where("ts_event is not null").withColumn("entity", symbol_key(F.col("symbol"))).where("entity is not null")
+        rows = table(spark, folder, name).where("ts_event is not null").select(symbol_key(F.col("symbol")).alias("entity"), "ts_event", "ts_ingest", "loaded_at", value).where("entity is not null")
         now = rolling.current_rows(rows, ["entity", "ts_event"], ["ts_ingest", "loaded_at"], value)
         daily = rolling.daily_totals(now.withColumn("day", rolling.day_number(F.col("ts_event"))), ["entity"]).withColumn("series", F.lit(name))
         parts = daily if parts is None else parts.unionByName(daily)
-    rows = table(spark, folder, "portfolio_daily_returns").where("ts_event is not null and portfolio_id is not null").withColumnRenamed("portfolio_id", "entity").withColumn("day", rolling.day_number(F.col("ts_event")))
+    rows = table(spark, folder, "portfolio_daily_returns").where("ts_event is not null and portfolio_id is not null").select(F.col("portfolio_id").alias("entity"), rolling.day_number(F.col("ts_event")).alias("day"), "ts_ingest", "calculation_id", "portfolio_return_1d")
     now = rolling.current_rows(rows, ["entity", "day"], ["ts_ingest", "calculation_id"], "portfolio_return_1d")
     daily = rolling.daily_totals(now, ["entity"]).withColumn("series", F.lit("portfolio_daily_returns"))
     return rolling.rolling_totals(parts.unionByName(daily), ["series", "entity"]).withColumn("day", rolling.day_text(F.col("day")))
