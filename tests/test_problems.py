@@ -184,7 +184,7 @@ def test_orphans(spark, at):
     t1, t2, t3 = at("2024-01-01T00:00:00"), at("2024-01-02T00:00:00"), at("2024-02-03T00:00:00")
     parents = spark.createDataFrame([("P1", t1), ("p2", t3), ("p2", t3), ("p3", t3), ("p3", None), ("p4", t1), (None, t1)], "calculation_id string, ts_ingest timestamp")
     text = '{"a": "p1", "b": " P2 ", "c": "p3", "d": "p4", "e": "gone", "f": null, "g": "  ", "h": "nope"}'
-    child = spark.createDataFrame([("r1", t2, t2, text), ("r1", t2, t2, text), ("r2", None, None, '{"a": "p2", "b": "gone"}'), ("r3", t2, t2, '{"a": "p1"'), ("r4", t2, t2, "[]"), ("r5", t2, t2, None)], "calculation_id string, ts_event timestamp, ts_ingest timestamp, ids string")
+    child = spark.createDataFrame([("r1", t2, t2, text), ("r1", t2, t2, text), ("r2", None, None, '{"a": "p2", "b": "gone"}'), ("r3", t2, t2, '{"a": "p1"'), ("r4", t2, t2, "[]"), ("r5", t2, t2, None), ("r6", t2, t2, '{"a": "gone"} x'), ("r7", t2, t2, '{"a": "gone", "a": "p1"}'), ("r8", t2, t2, '"text"')], "calculation_id string, ts_event timestamp, ts_ingest timestamp, ids string")
     gone = spark.createDataFrame([("P4", "t", t1), ("gone", "t", t3), ("gone", "other", t1)], "calculation_id string, table_name string, deleted_at timestamp")
     refs = [orphans.Reference("c", child, "calculation_id", orphans.json_object_values("ids"), "t", parents)]
     got = sets(orphans.orphan_references(refs, gone).na.fill("-"), "period", "record_id", "missing_id", "state")
@@ -222,3 +222,12 @@ def test_sliding_windows_share_panes(spark, at):
     wide = lateness.compose(parts, window_seconds=3 * lateness.HOUR).collect()
     t0 = int(at("2024-01-01T00:00:00").timestamp())
     assert {r.window_start: r.events_final for r in wide} == {t0 - 7200: 3, t0 - 3600: 3, t0: 4, t0 + 3600: 1, t0 + 7200: 1}
+
+
+def test_extreme_figures(spark, at):
+    big = (1 << 63) - 1
+    rows = delivery(spark, [(i, f"e{i}", "A", float("inf"), big, at("2024-01-01T00:10:00"), at("2024-01-01T00:11:00")) for i in range(3)])
+    window = lateness.compose(lateness.panes(lateness.usable(rows))).first()
+    assert window.events_final == 3 and window.volume_final is None
+    assert {r.field for r in drift.load_discrimination(rows).collect()} == set(drift.FIELDS)
+    assert gridfill.regularize(rows, spark.createDataFrame([("A", 600, 0, 3600)], GRID)).where("not is_missing").first().price == float("inf")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.text import is_blank, is_number, trimmed
+from tidegrid.functions.text import is_blank, is_number, json_object, trimmed
 from tidegrid.session import bounded_broadcast, stage
 
 TEXT_FIELDS = ("event_id", "symbol", "source")
@@ -89,7 +89,7 @@ def _state(field: str) -> Column:
 def cells(rows: DataFrame, load: str = "batch_id", key: str = "delivery_id") -> DataFrame:
     """(load, fold, states, levels, weight): the compressed rows of each load."""
     lo, hi = LEVEL_RANGE
-    tenths = [F.greatest(F.lit(lo), F.least(F.lit(hi), F.round(level(f) * 10).cast("int"))).alias(f"tenths_{f}") for f in LEVEL_FIELDS]
+    tenths = [F.round(F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), level(f) * 10))).cast("int").alias(f"tenths_{f}") for f in LEVEL_FIELDS]
     states = [_state(f).alias(f"state_{f}") for f in FIELDS]
     # the fold comes of the row's own id; a row without one goes to fold 0
     coded = rows.select(F.col(load).alias("load"), F.coalesce(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(FOLDS)), F.lit(0)).cast("int").alias("fold"), *states, *tenths)
@@ -211,9 +211,7 @@ def recorded(metrics: DataFrame, column: str, fields: tuple[str, ...]) -> DataFr
     absent or unreadable entry records 0; of several spellings of a name the
     greatest counts. Null text and text that is no JSON object gives no rows.
     """
-    text = F.col(column)
-    whole = F.is_variant_null(F.try_parse_json(text)).isNotNull()
-    entries = F.when(whole & F.json_object_keys(text).isNotNull(), F.map_entries(F.from_json(text, "map<string,string>")))
+    entries = F.map_entries(json_object(F.col(column), "string"))
     value = lambda f: F.coalesce(F.array_max(F.transform(F.filter("_e", lambda e: F.lower(trimmed(e["key"])) == f), lambda e: e["value"].try_cast("double"))), F.lit(0.0))
     rows = metrics.select("metric_id", F.col("batch_id").alias("load"), entries.alias("_e")).where("_e is not null")
     return rows.select("metric_id", "load", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), value(f).alias("value")) for f in fields))).alias("v")).select("metric_id", "load", "v.*")

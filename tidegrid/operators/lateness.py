@@ -38,13 +38,14 @@ def panes(events: DataFrame, pane_seconds: int = HOUR, publish_after: int = PUBL
 
     Columns: events, volume, notional, low, high, and opening and closing as
     (event_us, delivery_id, price). pane_start is in epoch seconds, also before 1970.
+    A volume sum beyond 64 bits is null.
     """
     start = (F.floor(F.col("event_us") / (pane_seconds * 1_000_000)) * pane_seconds).cast("bigint")
     rows = events.withColumn("pane_start", start).withColumn("arrival", arrival_class(F.col("pane_start"), pane_seconds, publish_after, cut_off))
     mark = F.struct("event_us", "delivery_id", "price")
     return rows.groupBy("symbol", "pane_start", "arrival").agg(
         F.count("*").alias("events"),
-        F.sum("volume").alias("volume"),
+        F.try_sum("volume").alias("volume"),
         F.sum("price").alias("notional"),
         F.min("price").alias("low"),
         F.max("price").alias("high"),
@@ -67,7 +68,7 @@ def compose(parts: DataFrame, pane_seconds: int = HOUR, window_seconds: int = HO
     def measures(taken: Column, tag: str) -> list[Column]:
         return [
             F.sum(F.when(taken, F.col("events")).otherwise(0)).alias(f"events_{tag}"),
-            F.sum(F.when(taken, F.col("volume"))).alias(f"volume_{tag}"),
+            F.try_sum(F.when(taken, F.col("volume"))).alias(f"volume_{tag}"),
             F.sum(F.when(taken, F.col("notional"))).alias(f"notional_{tag}"),
             F.min(F.when(taken, F.col("low"))).alias(f"low_{tag}"),
             F.max(F.when(taken, F.col("high"))).alias(f"high_{tag}"),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions import bloom
-from tidegrid.functions.text import id_key
+from tidegrid.functions.text import id_key, json_object
 from tidegrid.session import bounded_broadcast, stage
 
 
@@ -42,9 +42,7 @@ def json_object_values(column: str) -> Column:
     Numbers and booleans come as their text, nested values as JSON text; null
     values are nulls.
     """
-    text = F.col(column)
-    whole = F.is_variant_null(F.try_parse_json(text)).isNotNull()  # null unless all of the text is JSON
-    return F.when(whole & F.json_object_keys(text).isNotNull(), F.map_values(F.from_json(text, "map<string,string>")))
+    return F.map_values(json_object(F.col(column), "string"))
 
 
 def _cases(refs: Sequence[Reference]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.ids import content_id
-from tidegrid.functions.text import id_key, is_number, symbol_key
+from tidegrid.functions.text import id_key, is_number, json_object, symbol_key
 from tidegrid.operators.versions import latest_by
 from tidegrid.session import bounded_broadcast
 
@@ -25,7 +25,7 @@ WEIGHT_TOLERANCE = 1e-9
 
 def json_numbers(text: Column) -> Column:
     """A JSON object of numbers as map<string,double>; null for anything else."""
-    return F.when(F.is_variant_null(F.try_parse_json(text)).isNotNull() & F.json_object_keys(text).isNotNull(), F.from_json(text, "map<string,double>"))
+    return json_object(text, "double")
 
 
 def constituents(portfolio_returns: DataFrame) -> DataFrame:

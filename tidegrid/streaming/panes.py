@@ -24,7 +24,7 @@ def changed_panes(events: DataFrame, pane_seconds: int = HOUR, publish_after: in
     start = (F.floor(F.col("event_us") / (pane_seconds * 1_000_000)) * pane_seconds).cast("bigint")
     rows = events.withColumn("pane_start", start).withColumn("arrival", arrival_class(F.col("pane_start"), pane_seconds, publish_after, cut_off))
     mark = F.struct("event_us", "delivery_id", "price")
-    return rows.groupBy("symbol", "pane_start", "arrival").agg(F.count("*").alias("events"), F.sum("volume").alias("volume"), F.sum("price").alias("notional"), F.min("price").alias("low"), F.max("price").alias("high"), F.min(mark).alias("opening"), F.max(mark).alias("closing"))
+    return rows.groupBy("symbol", "pane_start", "arrival").agg(F.count("*").alias("events"), F.try_sum("volume").alias("volume"), F.sum("price").alias("notional"), F.min("price").alias("low"), F.max("price").alias("high"), F.min(mark).alias("opening"), F.max(mark).alias("closing"))
 
 
 def run_panes(deliveries: DataFrame, store: str, checkpoint: str, pane_seconds: int = HOUR, window_seconds: int = HOUR, available_now: bool = True) -> StreamingQuery:
