@@ -17,6 +17,7 @@ import base64
 import json
 import os
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Number of small maps of the rank literal.
-SHELVES = 1 << 14
+SHELVES = 1 << 12
 NO_RANK = (1 << 31) - 1
 #: Distinct words are broadcast up to this number, else joined by a shuffle.
 BROADCAST_WORDS = 400_000
@@ -62,6 +63,11 @@ def _pieces(s: Column) -> Column:
     return F.split(F.substring(s, F.lit(2), F.length(s) - 2), "><")
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``: a one-element array binds it, so that it is computed, and stands in the plan, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _merge_least(s: Column, literal: Column) -> Column:
     """One step of the fold: ``s`` with the pair of least rank merged, or marked as done."""
 
@@ -70,31 +76,27 @@ def _merge_least(s: Column, literal: Column) -> Column:
         rank_of = lambda x, i: F.coalesce(F.when(i < last, _rank(F.concat(x, F.get(p, i + 1)), literal)), F.lit(NO_RANK))
         return F.array_min(F.transform(p, lambda x, i: F.struct(rank_of(x, i).alias("rank"), x.alias("left"), F.coalesce(F.get(p, i + 1), F.lit("")).alias("right"))))
 
-    # a one-element array binds an intermediate value, so that it is computed once
-    def bind(value: Column, body: object) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
     def merged(best: Column) -> Column:
         left, right = best["left"], best["right"]
         pair, one = F.concat(F.lit("<"), left, F.lit("><"), right, F.lit(">")), F.concat(F.lit("<"), left, right, F.lit(">"))
         return F.struct(F.when(best["rank"] < NO_RANK, F.replace(s, pair, one)).otherwise(s).alias("s"), (best["rank"] >= NO_RANK).alias("done"))
 
-    return bind(_pieces(s), lambda p: bind(ranked(p), merged))
+    return _bind(_pieces(s), lambda p: _bind(ranked(p), merged))
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
     """(word, ids) of distinct non-empty words."""
-    literal = F.from_json(F.lit(_shelves(path)), "array<map<string,int>>")
     coded = words.withColumn("_hex", F.hex(F.encode("word", "UTF-8")))
     start = F.regexp_replace("_hex", "(..)", "<$1>")
-    whole = _rank(F.col("_hex"), literal)
+    steps = F.sequence(F.lit(1), (F.length("_hex") / 2).cast("int"))
 
-    def step(acc: Column, _: Column) -> Column:
-        return F.when(acc["done"], acc).otherwise(_merge_least(acc["s"], literal))
+    def ids(literal: Column) -> Column:
+        whole = _rank(F.col("_hex"), literal)
+        step = lambda acc, _: F.when(acc["done"], acc).otherwise(_merge_least(acc["s"], literal))
+        folded = F.aggregate(steps, F.struct(start.alias("s"), F.lit(False).alias("done")), step, lambda acc: F.transform(_pieces(acc["s"]), lambda p: _rank(p, literal)))
+        return F.coalesce(F.when(whole.isNotNull(), F.array(whole)), folded)
 
-    steps = F.sequence(F.lit(1), (F.length("_hex") / 2).cast("int"))
-    folded = F.aggregate(steps, F.struct(start.alias("s"), F.lit(False).alias("done")), step, lambda acc: F.transform(_pieces(acc["s"]), lambda p: _rank(p, literal)))
-    return coded.select("word", F.coalesce(F.when(whole.isNotNull(), F.array(whole)), folded).alias("ids"))
+    return coded.select("word", _bind(F.from_json(F.lit(_shelves(path)), "array<map<string,int>>"), ids).alias("ids"))
 
 
 def words_of(text: Column) -> Column:
@@ -136,7 +138,6 @@ def decode(encoded: DataFrame, key: str = "doc_id", folder: str | None = None, v
     pieces = [""] * (1 + max(rank for _, rank in table))
     for piece, rank in table:
         pieces[rank] = piece
-    literal = F.split(F.lit(",".join(pieces)), ",")
-    hexes = F.transform("ids", lambda i: F.get(literal, i))
-    known = ~F.exists(hexes, lambda h: h.isNull())
-    return encoded.select(key, F.when(known, F.decode(F.unhex(F.array_join(hexes, "")), "UTF-8")).alias("text"))
+    hexes = _bind(F.split(F.lit(",".join(pieces)), ","), lambda literal: F.transform("ids", lambda i: F.get(literal, i)))
+    looked = encoded.select(key, hexes.alias("_hex"))
+    return looked.select(key, F.when(~F.exists("_hex", lambda h: h.isNull()), F.decode(F.unhex(F.array_join("_hex", "")), "UTF-8")).alias("text"))
