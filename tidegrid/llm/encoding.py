@@ -23,7 +23,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.session import bounded_broadcast, stage
+from tidegrid.session import bounded_broadcast, is_small, stage
 
 #: Folder of the vocabulary files; set TIDEGRID_TOKENIZERS to use another.
 TOKENIZERS = os.environ.get("TIDEGRID_TOKENIZERS", "/opt/tokenizers")
@@ -126,10 +126,12 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
     """(key, tokens): the number of tokens of every row, by the same codes."""
     path = os.path.join(folder or TOKENIZERS, vocabulary)
     words = documents.select(F.col(key), F.explode_outer(words_of(F.col(text))).alias("word"))
-    words = words.groupBy(key, "word").agg(F.count("*").alias("n"))
-    codes = stage(encode_words(words.where("word is not null").select("word").distinct(), path), "word-codes")
-    joined = words.join(bounded_broadcast(codes.select("word", F.size("ids").cast("bigint").alias("size")), BROADCAST_WORDS), "word", "left")
-    return joined.groupBy(key).agg(F.sum(F.coalesce(F.col("n") * F.col("size"), F.lit(0))).alias("tokens"))
+    codes = stage(encode_words(words.where("word is not null").select("word").distinct(), path), "word-codes").select("word", F.size("ids").cast("bigint").alias("size"))
+    if is_small(codes, BROADCAST_WORDS):
+        sized = words.join(F.broadcast(codes), "word", "left")
+    else:  # a frequent word then reaches the shuffle once per document
+        sized = words.groupBy(key, "word").agg(F.count("*").alias("n")).join(codes, "word", "left").withColumn("size", F.col("n") * F.col("size"))
+    return sized.groupBy(key).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("tokens"))
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
