@@ -208,3 +208,29 @@ def test_views(spark):
     made = w.register(spark, "v_")
     assert "v_latest_risk_summary" in made and spark.sql("select * from v_latest_risk_summary").count() == 2
     assert len(w.names()) == 33
+
+
+def test_governance(spark):
+    from tidegrid.operators import governance as g
+
+    d = datetime.date.fromisoformat
+    parts = [{"source": "s", "symbol": "msft", "weight": 0.4}, {"source": "s", "symbol": "AAPL", "weight": 0.6}]
+    entry = lambda name, a, b: {"mandate_id": name, "effective_from": a, "effective_to": b, "base_currency": "USD", "constituents": parts}
+    rule = lambda name, a, b: {"policy_version_id": name, "effective_from": a, "effective_to": b, "portfolio_id": "p", "covariance_window": 20, "annualization_days": 252, "limits": {limits.VOLATILITY: {"warning": 0.3, "critical": 0.45}, limits.CONCENTRATION: {"warning": 0.65, "critical": 0.8}}}
+    mandates = g.timeline([g.mandate("p", entry("b", "2026-02-01", None)), g.mandate("p", entry("a", "2026-01-01", "2026-02-01"))])
+    policies = g.timeline([g.policy("q", rule("a", "2026-01-01", "2026-01-15")), g.policy("q", rule("b", "2026-01-15", None))])
+    segments, identity = g.plan(mandates, policies, d("2026-01-10"), d("2026-02-10"))
+    assert [(s.start, s.end, s.mandate.name, s.policy.name) for s in segments] == [(d("2026-01-10"), d("2026-01-14"), "a", "a"), (d("2026-01-15"), d("2026-01-31"), "a", "b"), (d("2026-02-01"), d("2026-02-10"), "b", "b")]
+    assert sum((s.end - s.start).days + 1 for s in segments) == 32 and identity.startswith("governed-plan-")
+    assert g.as_of(mandates, d("2026-02-01")).name == "b" and g.frame(spark, mandates).count() == 2
+    assert g.definition("p", "USD", parts) == g.definition("p", "USD", parts[::-1])
+    for broken in (
+        lambda: g.plan(mandates, policies, d("2025-12-31"), d("2026-01-02")),
+        lambda: g.timeline([*mandates, g.mandate("p", entry("c", "2026-03-01", None))]),
+        lambda: g.definition("p", "USD", parts[:1]),
+        lambda: g.definition("p", "USD", [parts[0], parts[0] | {"weight": 0.6}]),
+        lambda: g.definition("p", "USD", [parts[0], parts[1] | {"weight": 0.7}]),
+        lambda: g.mandate("p", entry("a", "yesterday", None)),
+    ):
+        with pytest.raises(g.ConfigError):
+            broken()

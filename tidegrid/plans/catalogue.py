@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.text import id_key, symbol_key
-from tidegrid.operators import checks, daily, limits, market, portfolio, quality, versions
+from tidegrid.operators import checks, contracts, daily, limits, market, portfolio, quality, versions
 from tidegrid.operators.serving import Warehouse
 from tidegrid.sources import stores
 from tidegrid.sources.tables import table
@@ -502,4 +502,22 @@ def ops_incidents(spark, folder):
     return _warehouse(spark, folder).recent_incidents().select("metric_id", us("ts_ingest").alias("ingest_us"))
 
 
+@query
+def contract_violations(spark, folder):
+    """Rows of each dataset that break a constraint of its contract."""
+    sets = {
+        "market_events_raw": contracts.market_events(),
+        "daily_returns": contracts.daily_returns(),
+        "portfolio_daily_returns": contracts.portfolio_returns(),
+        "portfolio_risk_attribution": contracts.attribution(),
+        "portfolio_risk_limit_evaluations": contracts.limit_evaluations(),
+        "portfolio_risk_notification_outbox": contracts.outbox(),
+    }
+    rows = None
+    for name, constraints in sets.items():
+        part = quality.violations(table(spark, folder, name), constraints).withColumn("table_name", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.select("table_name", "constraint_name", "checked", "violations")
+
+
 from tidegrid.plans.catalogue_sql import ORACLES  # noqa: E402, F401

@@ -133,6 +133,72 @@ pe AS (SELECT calculation_id, k, CAST(json_extract_string(w, '$."' || k || '"')
 ATTRIBUTED = "la AS (SELECT * FROM (SELECT DISTINCT * FROM portfolio_risk_attribution) QUALIFY row_number() OVER (PARTITION BY portfolio_id, definition_fingerprint, model_version, weighting_method, covariance_method, correlation_method, covariance_window, annualization_days, ts_event ORDER BY ts_ingest DESC NULLS LAST, calculation_id DESC NULLS LAST) = 1)"
 DAYS = f"dn AS (SELECT *, {_id('source')} AS s, {_sym('symbol')} AS y FROM daily_returns WHERE ts_event IS NOT NULL),\ndl AS (SELECT * FROM dn QUALIFY row_number() OVER (PARTITION BY s, y, ts_event ORDER BY ts_ingest DESC NULLS LAST, calculation_id DESC NULLS LAST) = 1)"
 
+
+
+def _map_sum(column: str) -> str:
+    return f"list_sum({_NUM.format(column)})"
+
+
+def _object(column: str) -> str:
+    return f"(CASE WHEN {_OBJ.format(column)} THEN {column} END)"
+
+
+_W, _R, _C, _S = (_object(c) for c in ("weights_json", "component_returns_json", "contributions_json", "component_contribution_share_json"))
+_MIDNIGHT = "epoch_us(ts_event) % 86400000000 = 0"
+CONTRACTS = {
+    "market_events_raw": {
+        "event_id_present": "length(trim(event_id)) > 0",
+        "symbol_is_upper": "symbol = upper(trim(symbol))",
+        "price_positive": "price IS NOT NULL AND NOT isnan(price) AND price > 0",
+        "volume_not_negative": "volume >= 0",
+        "not_ingested_before_event": "ts_ingest >= ts_event",
+    },
+    "daily_returns": {
+        "id_has_form": "regexp_full_match(calculation_id, 'daily-risk-v2-return-[0-9a-f]{24}')",
+        "return_above_minus_one": "return_1d IS NOT NULL AND NOT isnan(return_1d) AND return_1d > -1",
+        "event_at_midnight": _MIDNIGHT,
+        "inputs_differ": "source_event_id <> previous_source_event_id",
+    },
+    "portfolio_daily_returns": {
+        "id_has_form": "regexp_full_match(calculation_id, 'portfolio-risk-v1-return-[0-9a-f]{24}')",
+        "evidence_readable": f"{_W} IS NOT NULL AND {_R} IS NOT NULL AND {_C} IS NOT NULL",
+        "two_to_fifty_constituents": "constituent_count BETWEEN 2 AND 50",
+        "constituents_counted": f"len(json_keys({_W})) = constituent_count",
+        "same_keys": f"list_sort(json_keys({_W})) = list_sort(json_keys({_R})) AND list_sort(json_keys({_W})) = list_sort(json_keys({_C}))",
+        "weights_add_to_one": f"abs({_map_sum(_W)} - 1) <= 0.00001",
+        "contributions_add_up": f"abs({_map_sum(_C)} - portfolio_return_1d) <= 0.000001",
+        "event_at_midnight": _MIDNIGHT,
+    },
+    "portfolio_risk_attribution": {
+        "window_at_least_two": "covariance_window >= 2",
+        "window_full": "window_observations = covariance_window",
+        "window_ordered": "window_start < window_end",
+        "window_ends_at_event": "window_end = ts_event",
+        "volatility_not_negative": "portfolio_volatility_annualized >= 0",
+        "status_matches": "CASE WHEN volatility_status = 'zero' THEN portfolio_volatility_annualized <= 1e-12 ELSE portfolio_volatility_annualized > 1e-12 END",
+        "two_shares_or_more": f"len(json_keys({_S})) >= 2",
+        "shares_add_to_one": f"portfolio_volatility_annualized <= 1e-12 OR abs({_map_sum(_S)} - 1) <= 0.00001",
+    },
+    "portfolio_risk_limit_evaluations": {
+        "status_known": "status IN ('ok', 'warning', 'critical')",
+        "thresholds_ordered": "warning_threshold >= 0 AND warning_threshold < critical_threshold",
+        "observed_not_negative": "observed_value >= 0",
+        "observed_is_magnitude": "abs(observed_value - abs(observed_signed_value)) <= 1e-9",
+        "breach_is_not_ok": "is_breach = (status <> 'ok')",
+        "threshold_only_in_breach": "is_breach = (breach_threshold IS NOT NULL)",
+        "excess_matches": "abs(breach_excess - CASE WHEN is_breach THEN observed_value - breach_threshold ELSE 0.0 END) <= 0.000001",
+    },
+    "portfolio_risk_notification_outbox": {
+        "disposition_known": "delivery_disposition IN ('pending', 'suppressed')",
+        "transition_is_actionable": "transition_type IN ('opened', 'escalated', 'deescalated', 'resolved')",
+        "type_names_transition": "event_type = 'breach_' || transition_type",
+        "only_deescalations_suppressed": "(delivery_disposition = 'pending') = (transition_type <> 'deescalated')",
+        "reason_only_if_suppressed": "(delivery_disposition = 'pending') = (suppression_reason IS NULL)",
+        "severity_matches": "severity_rank = CASE current_status WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END",
+        "payload_readable": f"{_object('payload_json')} IS NOT NULL",
+    },
+}
+
 ORACLES = {
     "market_events_normalised": _rows("SELECT delivery_id, event_id, symbol, price, volume, source, is_late, e AS event_us, bar AS window_start FROM ev", EV),
     "dedupe_first_seen": _rows("SELECT event_id, delivery_id, symbol, price FROM dd", EV, DD),
@@ -253,6 +319,7 @@ JOIN (SELECT portfolio_id, definition_fingerprint, d, list(id) OVER (PARTITION B
     "view_suppressed": _rows("SELECT DISTINCT event_id, suppression_reason FROM cob WHERE delivery_disposition = 'suppressed'", OUTBOX, LATEST, TRANSITIONS, CURRENT),
     "ops_health": "SELECT metric_id, total_events, deduped_events, duplicate_events, CAST(round(CAST(duplicate_rate AS DECIMAL(38, 12)) * 100, 2) AS DOUBLE) AS duplicate_rate_pct, late_events, CAST(round(CAST(late_rate AS DECIMAL(38, 12)) * 100, 2) AS DOUBLE) AS late_rate_pct, late_status, duplicate_status FROM (SELECT DISTINCT * FROM data_quality_metrics) ORDER BY ts_ingest DESC NULLS LAST, metric_id DESC LIMIT 1",
     "ops_incidents": "SELECT metric_id, epoch_us(ts_ingest) AS ingest_us FROM (SELECT DISTINCT * FROM data_quality_metrics) WHERE required_fields_status <> 'ok' OR null_rate_status <> 'ok' OR value_validity_status <> 'ok' OR late_status <> 'ok' OR duplicate_status <> 'ok' ORDER BY ts_ingest DESC NULLS LAST, metric_id DESC LIMIT 50",
+    "contract_violations": " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{name}' AS constraint_name, count(*) AS checked, count(*) FILTER (WHERE NOT ({c})) AS violations FROM {t}" for t, cs in CONTRACTS.items() for name, c in cs.items()),
     "checks_core": _rows(
         _suite(
             _check("core_deduped_ids_unique", _surplus("dd", "event_id")),
