@@ -62,3 +62,6 @@ def test_repeated_and_no_rows(spark):
     assert encoding.encode(frame(spark, [])).count() == 0
     rows = encoding.encode(frame(spark, ["same text"] * 50)).collect()
     assert len(rows) == 50 and len({tuple(r.ids) for r in rows}) == 1
+    twice = spark.createDataFrame([(1, "one text"), (1, "one text"), (1, "another"), (None, "one text"), (2, None)], "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, len(r.ids)) for r in encoding.encode(twice).collect())
+    assert got == [(0, 2), (1, 1), (1, 2), (1, 2), (2, 0)]

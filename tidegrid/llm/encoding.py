@@ -108,18 +108,20 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", folder
     """(key, ids): the token ids of every row, without special tokens.
 
     Null and empty texts have the empty list. The strings of special tokens are
-    ordinary text. ``key`` must be unique; other columns are ignored. Texts of any
-    length are encoded whole; one row holds all ids of its text.
+    ordinary text. Rows that share a key are encoded separately; other columns are
+    ignored. Texts of any length are encoded whole; one row holds all ids of its
+    text.
     """
     path = os.path.join(folder or TOKENIZERS, vocabulary)
     split = documents.select(F.col(key), words_of(F.col(text)).alias("words"))
     distinct = split.select(F.explode("words").alias("word")).distinct()
     codes = stage(encode_words(distinct, path), "word-codes")
     parts = documents.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = documents.select(key, text).repartition(int(parts), key).select(F.col(key), F.posexplode_outer(words_of(F.col(text))).alias("pos", "word"))
+    placed = documents.select(key, text, F.monotonically_increasing_id().alias("_row")).repartition(int(parts), key).select(F.col(key), "_row", F.posexplode_outer(words_of(F.col(text))).alias("pos", "word"))
     joined = placed.join(bounded_broadcast(codes, BROADCAST_WORDS), "word", "left")
     ordered = F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))))
-    return joined.groupBy(key).agg(F.flatten(F.transform(ordered, lambda w: w["ids"])).alias("ids"))
+    # placed by key, so that no further shuffle is needed
+    return joined.groupBy(key, "_row").agg(F.flatten(F.transform(ordered, lambda w: w["ids"])).alias("ids")).drop("_row")
 
 
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
