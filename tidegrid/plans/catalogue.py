@@ -38,6 +38,11 @@ def r6(*cols: str) -> list[Column]:
     return [F.round(c, 6).alias(c.split(".")[-1]) for c in cols]
 
 
+def raw(*cols: str) -> list[Column]:
+    """Stored figures as they are."""
+    return [F.col(c) for c in cols]
+
+
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     return market.normalise(table(spark, folder, "market_events_raw"))
 
@@ -167,7 +172,7 @@ def daily_return_ids(spark, folder):
 @query
 def latest_daily_returns(spark, folder):
     rows = table(spark, folder, "daily_returns").where("ts_event is not null").withColumn("source", id_key(F.col("source"))).withColumn("symbol", symbol_key(F.col("symbol")))
-    return versions.latest_by(rows, ["source", "symbol", "ts_event"], ["ts_ingest", "calculation_id"]).select("source", "symbol", us("ts_event").alias("event_us"), "calculation_id", *r6("return_1d")).distinct()
+    return versions.latest_by(rows, ["source", "symbol", "ts_event"], ["ts_ingest", "calculation_id"]).select("source", "symbol", us("ts_event").alias("event_us"), "calculation_id", *raw("return_1d")).distinct()
 
 
 @query
@@ -276,12 +281,12 @@ def portfolio_risk_summary(spark, folder):
 @query
 def latest_portfolio_returns(spark, folder):
     rows = table(spark, folder, "portfolio_daily_returns")
-    return versions.latest_by(rows, ["portfolio_id", "definition_fingerprint", "weighting_method", "ts_event"], ["ts_ingest", "calculation_id"]).select("portfolio_id", us("ts_event").alias("event_us"), "calculation_id", *r6("portfolio_return_1d")).distinct()
+    return versions.latest_by(rows, ["portfolio_id", "definition_fingerprint", "weighting_method", "ts_event"], ["ts_ingest", "calculation_id"]).select("portfolio_id", us("ts_event").alias("event_us"), "calculation_id", *raw("portfolio_return_1d")).distinct()
 
 
 @query
 def portfolio_contributions(spark, folder):
-    return portfolio.contributions(table(spark, folder, "portfolio_daily_returns").dropDuplicates()).select("portfolio_id", day("day"), "calculation_id", "component", *r6("weight", "component_return", "contribution"))
+    return portfolio.contributions(table(spark, folder, "portfolio_daily_returns").dropDuplicates()).select("portfolio_id", day("day"), "calculation_id", "component", *raw("weight", "component_return", "contribution"))
 
 
 def _matrix(spark, folder):
@@ -403,12 +408,12 @@ def _split(spark, folder):
 
 @query
 def upsert_latest_wins(spark, folder):
-    return versions.upsert(*_split(spark, folder), ["calculation_id"]).select("calculation_id", *r6("return_1d"))
+    return versions.upsert(*_split(spark, folder), ["calculation_id"]).select("calculation_id", *raw("return_1d"))
 
 
 @query
 def upsert_guarded(spark, folder):
-    return versions.upsert_newer(*_split(spark, folder), ["calculation_id"]).select("calculation_id", *r6("return_1d"))
+    return versions.upsert_newer(*_split(spark, folder), ["calculation_id"]).select("calculation_id", *raw("return_1d"))
 
 
 @query
@@ -464,22 +469,22 @@ def _warehouse(spark, folder):
 
 @query
 def view_latest_attribution(spark, folder):
-    return _warehouse(spark, folder).latest_portfolio_risk_attribution().select("portfolio_id", us("ts_event").alias("event_us"), "calculation_id", *r6("portfolio_volatility_annualized"))
+    return _warehouse(spark, folder).latest_portfolio_risk_attribution().select("portfolio_id", us("ts_event").alias("event_us"), "calculation_id", *raw("portfolio_volatility_annualized"))
 
 
 @query
 def view_volatility_contributions(spark, folder):
-    return _warehouse(spark, folder).portfolio_volatility_contribution_model().select("calculation_id", "constituent_key", *r6("contribution_share"))
+    return _warehouse(spark, folder).portfolio_volatility_contribution_model().select("calculation_id", "constituent_key", *raw("contribution_share"))
 
 
 @query
 def view_breaches(spark, folder):
-    return _warehouse(spark, folder).portfolio_risk_limit_breaches().select("calculation_id", "metric_name", "status", *r6("breach_excess"))
+    return _warehouse(spark, folder).portfolio_risk_limit_breaches().select("calculation_id", "metric_name", "status", *raw("breach_excess"))
 
 
 @query
 def view_contributions(spark, folder):
-    return _warehouse(spark, folder).portfolio_daily_contribution_model().select("calculation_id", "component", *r6("contribution"))
+    return _warehouse(spark, folder).portfolio_daily_contribution_model().select("calculation_id", "component", *raw("contribution"))
 
 
 @query

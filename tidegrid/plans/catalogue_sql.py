@@ -103,11 +103,11 @@ _FIELDS = ("event_id", "symbol", "price", "volume", "ts_event", "ts_ingest", "so
 
 
 def _json_counts(column: str, table: str, names: tuple[str, ...]) -> str:
-    ok = f"CASE WHEN json_valid({column}) THEN json_type({column}) = 'OBJECT' ELSE FALSE END"
+    text = f"(CASE WHEN json_valid({column}) AND json_type(CASE WHEN json_valid({column}) THEN {column} END) = 'OBJECT' THEN {column} END)"
     aggs = ["count(*) AS rows"]
     for tag, n in zip("ab", names):
-        has = f"({ok} AND list_contains(json_keys({column}), '{n}'))"
-        aggs += [f"count(*) FILTER (WHERE NOT coalesce({has}, FALSE)) AS missing_{tag}", f"count(*) FILTER (WHERE coalesce({has} AND json_extract_string({column}, '$.\"{n}\"') IS NULL, FALSE)) AS null_{tag}"]
+        has = f"list_contains(json_keys({text}), '{n}')"
+        aggs += [f"count(*) FILTER (WHERE NOT coalesce({has}, FALSE)) AS missing_{tag}", f"count(*) FILTER (WHERE coalesce({has} AND json_extract_string({text}, '$.\"{n}\"') IS NULL, FALSE)) AS null_{tag}"]
     return f"SELECT {', '.join(aggs)} FROM {table}"
 
 
@@ -236,7 +236,7 @@ ORACLES = {
 FROM daily WHERE n > 1""",
         EV, DD, CLOSES, DAILY,
     ),
-    "latest_daily_returns": _rows("SELECT DISTINCT s AS source, y AS symbol, epoch_us(ts_event) AS event_us, calculation_id, round(return_1d, 6) AS return_1d FROM dl", DAYS),
+    "latest_daily_returns": _rows("SELECT DISTINCT s AS source, y AS symbol, epoch_us(ts_event) AS event_us, calculation_id, return_1d AS return_1d FROM dl", DAYS),
     "daily_semantic": _rows(f"SELECT source, symbol, {_day('d * 86400000000')} AS day, period_seconds, round(r, 6) AS return_1d FROM daily LEFT JOIN symbol_grid USING (symbol) WHERE n > 1", EV, DD, CLOSES, DAILY),
     "finance_semantic": _rows(
         "SELECT symbol, CASE WHEN isnan(v) THEN 'no_data' WHEN v >= 0.07 THEN 'critical' WHEN v >= 0.03 THEN 'warn' ELSE 'ok' END AS volatility_status, period_seconds, dq_metric_id, dq_late_status FROM summary LEFT JOIN symbol_grid USING (symbol) LEFT JOIN (SELECT metric_id AS dq_metric_id, late_status AS dq_late_status FROM data_quality_metrics ORDER BY ts_ingest DESC NULLS LAST, metric_id DESC LIMIT 1) ON TRUE",
@@ -261,9 +261,9 @@ FROM (SELECT *, wealth / greatest(1.0, max(wealth) OVER (PARTITION BY portfolio_
     v AS (PARTITION BY portfolio_id, definition_fingerprint ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), q AS (PARTITION BY portfolio_id, definition_fingerprint ORDER BY d ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)))""",
         PARTS, ALIGNED,
     ),
-    "latest_portfolio_returns": "SELECT DISTINCT portfolio_id, epoch_us(ts_event) AS event_us, calculation_id, round(portfolio_return_1d, 6) AS portfolio_return_1d FROM portfolio_daily_returns QUALIFY row_number() OVER (PARTITION BY portfolio_id, definition_fingerprint, weighting_method, ts_event ORDER BY ts_ingest DESC NULLS LAST, calculation_id DESC NULLS LAST) = 1",
-    "portfolio_contributions": f"""SELECT portfolio_id, {_day('epoch_us(ts_event)')} AS day, calculation_id, k AS component, round(CAST(json_extract_string(CASE WHEN {_OBJ.format('weights_json')} THEN weights_json END, '$."' || k || '"') AS DOUBLE), 6) AS weight,
-  round(CAST(json_extract_string(CASE WHEN {_OBJ.format('component_returns_json')} THEN component_returns_json END, '$."' || k || '"') AS DOUBLE), 6) AS component_return, round(CAST(json_extract_string(contributions_json, '$."' || k || '"') AS DOUBLE), 6) AS contribution
+    "latest_portfolio_returns": "SELECT DISTINCT portfolio_id, epoch_us(ts_event) AS event_us, calculation_id, portfolio_return_1d AS portfolio_return_1d FROM portfolio_daily_returns QUALIFY row_number() OVER (PARTITION BY portfolio_id, definition_fingerprint, weighting_method, ts_event ORDER BY ts_ingest DESC NULLS LAST, calculation_id DESC NULLS LAST) = 1",
+    "portfolio_contributions": f"""SELECT portfolio_id, {_day('epoch_us(ts_event)')} AS day, calculation_id, k AS component, CAST(json_extract_string(CASE WHEN {_OBJ.format('weights_json')} THEN weights_json END, '$."' || k || '"') AS DOUBLE) AS weight,
+  CAST(json_extract_string(CASE WHEN {_OBJ.format('component_returns_json')} THEN component_returns_json END, '$."' || k || '"') AS DOUBLE) AS component_return, CAST(json_extract_string(contributions_json, '$."' || k || '"') AS DOUBLE) AS contribution
 FROM (SELECT *, unnest(json_keys(contributions_json)) AS k FROM (SELECT DISTINCT * FROM portfolio_daily_returns) WHERE {_OBJ.format('contributions_json')})""",
     "rolling_covariance": _rows(f"SELECT portfolio_id, definition_fingerprint, {_day('d * 86400000000')} AS day, {_day('d0 * 86400000000')} AS window_start, row_key, column_key, round(cov, 6) AS covariance_annualized, round(corr, 6) AS correlation FROM mx", PARTS, ALIGNED, MATRIX),
     "euler_attribution": _rows(f"SELECT portfolio_id, definition_fingerprint, {_day('d * 86400000000')} AS day, component, CASE WHEN positive THEN 'positive' ELSE 'zero' END AS volatility_status, round(vol, 6) AS portfolio_volatility, round(contribution, 6) AS component_contribution, round(share, 6) AS contribution_share FROM es", PARTS, ALIGNED, MATRIX, EULER),
@@ -295,8 +295,8 @@ FROM tr WHERE transition_type IN ('opened', 'escalated', 'deescalated', 'resolve
         OUTBOX,
         f"asked AS (SELECT {_id('source_evaluation_calculation_id')} AS id, unnest([event_id, event_id || '-again']) AS request, epoch_us(ts_ingest) + 3600000000 AS t FROM ob WHERE delivery_disposition = 'pending' AND ts_ingest IS NOT NULL)",
     ),
-    "upsert_latest_wins": _rows("SELECT calculation_id, round(CASE WHEN p <> 0 THEN r + 1 ELSE r END, 6) AS return_1d FROM parted", SPLIT),
-    "upsert_guarded": _rows("SELECT calculation_id, round(CASE WHEN p = 2 THEN r + 1 ELSE r END, 6) AS return_1d FROM parted", SPLIT),
+    "upsert_latest_wins": _rows("SELECT calculation_id, CASE WHEN p <> 0 THEN r + 1 ELSE r END AS return_1d FROM parted", SPLIT),
+    "upsert_guarded": _rows("SELECT calculation_id, CASE WHEN p = 2 THEN r + 1 ELSE r END AS return_1d FROM parted", SPLIT),
     "insert_only": _rows("SELECT calculation_id FROM parted WHERE p = 2", SPLIT),
     "attribution_snapshots": _rows(
         f"""SELECT portfolio_id, definition_fingerprint, {_day('d * 86400000000')} AS day, 'portfolio-attribution-v1-snapshot-' || substr(sha256('{{"annualization_days":252,"correlation_method":"pearson_from_sample_covariance","covariance_method":"sample_covariance_ddof_1","covariance_window":10,"definition_fingerprint":"' || definition_fingerprint || '","input_calculation_ids":["' || array_to_string(inputs, '","') || '"],"model_version":"portfolio-attribution-v1","weighting_method":"constant_weight_daily_rebalanced"}}'), 1, 24) AS calculation_id,
@@ -307,13 +307,13 @@ JOIN (SELECT portfolio_id, definition_fingerprint, d, list(id) OVER (PARTITION B
         PARTS, ALIGNED, MATRIX, EULER, RETURN_IDS,
     ),
     "portfolio_return_ids": _rows(f"SELECT portfolio_id, definition_fingerprint, {_day('d * 86400000000')} AS day, id AS calculation_id FROM pri", PARTS, ALIGNED, RETURN_IDS),
-    "view_latest_attribution": _rows("SELECT portfolio_id, epoch_us(ts_event) AS event_us, calculation_id, round(portfolio_volatility_annualized, 6) AS portfolio_volatility_annualized FROM la", ATTRIBUTED),
+    "view_latest_attribution": _rows("SELECT portfolio_id, epoch_us(ts_event) AS event_us, calculation_id, portfolio_volatility_annualized AS portfolio_volatility_annualized FROM la", ATTRIBUTED),
     "view_volatility_contributions": _rows(
-        f"""SELECT calculation_id, k AS constituent_key, round(CAST(json_extract_string(component_contribution_share_json, '$."' || k || '"') AS DOUBLE), 6) AS contribution_share FROM (SELECT *, unnest(json_keys(component_contribution_share_json)) AS k FROM la WHERE {_OBJ.format('component_contribution_share_json')})""",
+        f"""SELECT calculation_id, k AS constituent_key, CAST(json_extract_string(component_contribution_share_json, '$."' || k || '"') AS DOUBLE) AS contribution_share FROM (SELECT *, unnest(json_keys(component_contribution_share_json)) AS k FROM la WHERE {_OBJ.format('component_contribution_share_json')})""",
         ATTRIBUTED,
     ),
-    "view_breaches": _rows("SELECT calculation_id, metric_name, status, round(breach_excess, 6) AS breach_excess FROM lat WHERE is_breach", LATEST.replace(" WHERE ts_event IS NOT NULL", "")),
-    "view_contributions": f"""SELECT calculation_id, k AS component, round(CAST(json_extract_string(contributions_json, '$."' || k || '"') AS DOUBLE), 6) AS contribution FROM (
+    "view_breaches": _rows("SELECT calculation_id, metric_name, status, breach_excess AS breach_excess FROM lat WHERE is_breach", LATEST.replace(" WHERE ts_event IS NOT NULL", "")),
+    "view_contributions": f"""SELECT calculation_id, k AS component, CAST(json_extract_string(contributions_json, '$."' || k || '"') AS DOUBLE) AS contribution FROM (
   SELECT *, unnest(json_keys(contributions_json)) AS k FROM (SELECT * FROM (SELECT DISTINCT * FROM portfolio_daily_returns) QUALIFY row_number() OVER (PARTITION BY portfolio_id, definition_fingerprint, model_version, weighting_method, ts_event ORDER BY ts_ingest DESC NULLS LAST, calculation_id DESC NULLS LAST) = 1) WHERE {_OBJ.format('contributions_json')})""",
     "view_pending": _rows("SELECT DISTINCT event_id, transition_type FROM cob WHERE delivery_disposition = 'pending'", OUTBOX, LATEST, TRANSITIONS, CURRENT),
     "view_suppressed": _rows("SELECT DISTINCT event_id, suppression_reason FROM cob WHERE delivery_disposition = 'suppressed'", OUTBOX, LATEST, TRANSITIONS, CURRENT),

@@ -9,6 +9,9 @@ from tidegrid.operators import drift, gridfill, lateness, orphans, redelivery, r
 from tidegrid.functions.text import symbol_key
 from tidegrid.sources.tables import table
 
+#: Added before rounding averages of prices to 6 digits: exact halves, which engines round differently, are none then.
+OFF_HALF = 3.1415e-8
+
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return gridfill.missing_slots(table(spark, folder, "market_events_raw"), table(spark, folder, "symbol_grid"))
@@ -38,8 +41,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_rolling(spark: SparkSession, folder: str) -> DataFrame:
-    cols = ["total", "total_7", "total_30", "average_7", "average_30"]
-    return _rolled(spark, folder).select("series", "entity", "day", "active", *(F.round(c, 6).alias(c) for c in cols))
+    # the stored figures have at most 10 digits; with more digits no value lies on a rounding boundary
+    digits = {"total": 11, "total_7": 11, "total_30": 11, "average_7": 12, "average_30": 12}
+    return _rolled(spark, folder).select("series", "entity", "day", "active", *(F.round(c, n).alias(c) for c, n in digits.items()))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,7 +98,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_hourly(spark: SparkSession, folder: str) -> DataFrame:
     rows = lateness.emissions(_windows(spark, folder))
-    return rows.select("symbol", F.col("window_start").alias("hour_start"), "revision", "events", "volume", F.round("average_price", 6).alias("average_price"), "low", "high", "open_price", "close_price", "corrections", "rejected")
+    return rows.select("symbol", F.col("window_start").alias("hour_start"), "revision", "events", "volume", F.round(F.col("average_price") + OFF_HALF, 6).alias("average_price"), "low", "high", "open_price", "close_price", "corrections", "rejected")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_rolling, p3_found, p3_profile, p3_drift, p4_found, p4_kept, p5_found, p5_report, p6_found, p6_hourly)}
@@ -195,7 +199,7 @@ ORACLES = {
 SELECT symbol, slot_start, coalesce(readings, 0) AS readings, first_price, last_price, price, readings IS NULL AS is_missing, filled_from FROM series""",
     "p2_found": _ROLLED + "SELECT series, entity, strftime(make_timestamp(day * 86400000000), '%Y-%m-%d') AS day FROM rolled WHERE active = 0 AND total_30 > 0.000001 AND total_7 / 7 < 0.5 * total_30 / 30",
     "p2_rolling": _ROLLED
-    + "SELECT series, entity, strftime(make_timestamp(day * 86400000000), '%Y-%m-%d') AS day, active, round(total, 6) AS total, round(total_7, 6) AS total_7, round(total_30, 6) AS total_30, round(total_7 / 7, 6) AS average_7, round(total_30 / 30, 6) AS average_30 FROM rolled",
+    + "SELECT series, entity, strftime(make_timestamp(day * 86400000000), '%Y-%m-%d') AS day, active, round(total, 11) AS total, round(total_7, 11) AS total_7, round(total_30, 11) AS total_30, round(total_7 / 7, 12) AS average_7, round(total_30 / 30, 12) AS average_30 FROM rolled",
     "p3_found": f"""
 WITH p AS ({_FIELD_ROWS}),
 said AS ({_said("null_rates_by_name", drift.FIELDS, "null_rate_wrong")} UNION ALL {_said("missing_required_fields_by_name", drift.FIELDS, "missing_wrong")} UNION ALL {_said("invalid_values_by_name", drift.LEVEL_FIELDS, "invalid_wrong")})
@@ -212,8 +216,8 @@ SELECT m.metric_id, field, 'level_shift' FROM (SELECT DISTINCT metric_id, batch_
     "p5_report": _ORPHANS + "SELECT table_name, period, state, count(*) AS orphan_references, count(DISTINCT record_id) AS records FROM found GROUP BY ALL",
     "p6_found": _HOURS + "SELECT DISTINCT symbol, h AS hour_start, CASE c WHEN 1 THEN 'corrected' ELSE 'rejected' END AS outcome FROM classed WHERE c > 0",
     "p6_hourly": _HOURS
-    + """, base AS (SELECT symbol, h, count(*) FILTER (WHERE c = 1) AS corrections, count(*) FILTER (WHERE c = 2) AS rejected FROM classed GROUP BY ALL),
+    + f""", base AS (SELECT symbol, h, count(*) FILTER (WHERE c = 1) AS corrections, count(*) FILTER (WHERE c = 2) AS rejected FROM classed GROUP BY ALL),
 rev AS (SELECT symbol, h, 0 AS revision, * EXCLUDE (symbol, h) FROM classed WHERE c = 0 UNION ALL SELECT c.symbol, c.h, 1, c.* EXCLUDE (symbol, h) FROM classed c JOIN base USING (symbol, h) WHERE c.c < 2 AND corrections > 0),
-agg AS (SELECT symbol, h, revision, count(*) AS events, CAST(sum(volume) AS BIGINT) AS volume, round(sum(price) / count(*), 6) AS average_price, min(price) AS low, max(price) AS high, arg_min(price, (e, delivery_id)) AS open_price, arg_max(price, (e, delivery_id)) AS close_price FROM rev GROUP BY ALL)
+agg AS (SELECT symbol, h, revision, count(*) AS events, CAST(sum(volume) AS BIGINT) AS volume, round(sum(price) / count(*) + {OFF_HALF}, 6) AS average_price, min(price) AS low, max(price) AS high, arg_min(price, (e, delivery_id)) AS open_price, arg_max(price, (e, delivery_id)) AS close_price FROM rev GROUP BY ALL)
 SELECT symbol, h AS hour_start, revision, events, volume, average_price, low, high, open_price, close_price, corrections, rejected FROM agg JOIN base USING (symbol, h)""",
 }
