@@ -9,7 +9,7 @@ from tidegrid.operators import drift, gridfill, lateness, orphans, redelivery, r
 from tidegrid.functions.text import symbol_key
 from tidegrid.sources.tables import table
 
-#: Added before rounding averages of prices to 6 digits: exact halves, which engines round differently, are none then.
+#: Added before rounding sums and averages to 6 digits: exact halves, which engines round differently, are none then.
 OFF_HALF = 3.1415e-8
 
 
@@ -41,9 +41,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_rolling(spark: SparkSession, folder: str) -> DataFrame:
-    # the stored figures have at most 10 digits; with more digits no value lies on a rounding boundary
-    digits = {"total": 11, "total_7": 11, "total_30": 11, "average_7": 12, "average_30": 12}
-    return _rolled(spark, folder).select("series", "entity", "day", "active", *(F.round(c, n).alias(c) for c, n in digits.items()))
+    cols = ["total", "total_7", "total_30", "average_7", "average_30"]
+    return _rolled(spark, folder).select("series", "entity", "day", "active", *(F.round(F.col(c) + OFF_HALF, 6).alias(c) for c in cols))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,7 +198,7 @@ ORACLES = {
 SELECT symbol, slot_start, coalesce(readings, 0) AS readings, first_price, last_price, price, readings IS NULL AS is_missing, filled_from FROM series""",
     "p2_found": _ROLLED + "SELECT series, entity, strftime(make_timestamp(day * 86400000000), '%Y-%m-%d') AS day FROM rolled WHERE active = 0 AND total_30 > 0.000001 AND total_7 / 7 < 0.5 * total_30 / 30",
     "p2_rolling": _ROLLED
-    + "SELECT series, entity, strftime(make_timestamp(day * 86400000000), '%Y-%m-%d') AS day, active, round(total, 11) AS total, round(total_7, 11) AS total_7, round(total_30, 11) AS total_30, round(total_7 / 7, 12) AS average_7, round(total_30 / 30, 12) AS average_30 FROM rolled",
+    + f"SELECT series, entity, strftime(make_timestamp(day * 86400000000), '%Y-%m-%d') AS day, active, round(total + {OFF_HALF}, 6) AS total, round(total_7 + {OFF_HALF}, 6) AS total_7, round(total_30 + {OFF_HALF}, 6) AS total_30, round(total_7 / 7 + {OFF_HALF}, 6) AS average_7, round(total_30 / 30 + {OFF_HALF}, 6) AS average_30 FROM rolled",
     "p3_found": f"""
 WITH p AS ({_FIELD_ROWS}),
 said AS ({_said("null_rates_by_name", drift.FIELDS, "null_rate_wrong")} UNION ALL {_said("missing_required_fields_by_name", drift.FIELDS, "missing_wrong")} UNION ALL {_said("invalid_values_by_name", drift.LEVEL_FIELDS, "invalid_wrong")})
