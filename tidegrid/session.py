@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and holds no more rows than this.
 BROADCAST_ROWS = 200_000
+_staged: list[str] = []
 
 
 def make_session(app: str = "tidegrid", master: str | None = None, shuffle: int | None = None, **conf: str) -> SparkSession:
@@ -40,11 +41,13 @@ def make_session(app: str = "tidegrid", master: str | None = None, shuffle: int
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, one machine) a temporary folder is made,
-    recorded in the session and removed at exit.
+    Where that is unset a temporary folder is made, recorded in the session and
+    removed at exit; but only on one machine. On a cluster it must be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="tidegrid-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         folder = "file://" + local
@@ -56,14 +59,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result survives the loss of executors, has row counts in its footers
-    and can be scanned several times with column pruning.
+    and can be scanned several times with column pruning. The tables stay, as
+    frames may still read them; ``release`` removes those of this process.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Remove the staged tables of this process, once no frame made of them is needed; returns their number."""
+    n = len(_staged)
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; it is read up to rows + 1."""
     return df.limit(rows + 1).count() <= rows
