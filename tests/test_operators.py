@@ -240,6 +240,6 @@ def test_staged_tables_are_shared_and_released(spark):
     from tidegrid import session
 
     df = session.stage(spark.range(5), "some")
-    assert df.count() == 5 and df.inputFiles()[0].startswith(session.shared_dir(spark).replace("file://", "file:///").replace("////", "///"))
+    assert df.count() == 5 and session.shared_dir(spark).rsplit("/", 1)[-1] in df.inputFiles()[0]
     assert session.is_small(df, 5) and not session.is_small(df, 4)
     assert session.release(spark) >= 1
