@@ -243,3 +243,12 @@ def test_staged_tables_are_shared_and_released(spark):
     assert df.count() == 5 and session.shared_dir(spark).rsplit("/", 1)[-1] in df.inputFiles()[0]
     assert session.is_small(df, 5) and not session.is_small(df, 4)
     assert session.release(spark) >= 1
+
+
+def test_floor_div_is_exact(spark):
+    from tidegrid.functions.times import floor_div
+
+    big = (1 << 62) + 12345
+    rows = [-1, -7, 0, 6, 7, big, -big, -(1 << 62)]
+    got = spark.createDataFrame([(x,) for x in rows], "x bigint").select("x", floor_div(F.col("x"), 7).alias("q")).collect()
+    assert all(r.q == r.x // 7 for r in got)

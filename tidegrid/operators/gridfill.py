@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.scan import carry_in
 from tidegrid.functions.text import is_number, symbol_key
+from tidegrid.functions.times import DAY, SECOND, floor_div
 from tidegrid.session import bounded_broadcast, stage
 
-DAY_US = 86_400_000_000
-
 
 def _grid(grid: DataFrame) -> DataFrame:
     """One row per normalised symbol; of several the least by period, open and close."""
@@ -40,9 +39,9 @@ def slot_readings(readings: DataFrame, grid: DataFrame) -> tuple[DataFrame, Data
     valid = readings.where(F.col("ts_event").isNotNull() & is_number(price) & (price > 0)).select(
         symbol_key(F.col("symbol")).alias("_key"), F.unix_micros("ts_event").alias("us"), "price"
     )
-    at = valid.join(bounded_broadcast(g), "_key").withColumn("day", F.floor(F.col("us") / DAY_US).cast("int"))
-    into = F.col("us") - F.col("day").cast("bigint") * DAY_US - F.col("open_second").cast("bigint") * 1_000_000
-    slot = F.floor(into / (F.col("period_seconds").cast("bigint") * 1_000_000)).cast("int")
+    at = valid.join(bounded_broadcast(g), "_key").withColumn("day", floor_div(F.col("us"), DAY).cast("int"))
+    into = F.col("us") - F.col("day").cast("bigint") * DAY - F.col("open_second").cast("bigint") * 1_000_000
+    slot = floor_div(into, F.col("period_seconds").cast("bigint") * SECOND).cast("int")
     at = at.withColumn("slot", F.when((slot >= 0) & (slot < F.col("_slots")), slot).otherwise(-1))
     slots = at.groupBy("_key", "day", "slot").agg(F.count("*").alias("readings"), F.min(F.struct("us", "price")).alias("_first"), F.max(F.struct("us", "price")).alias("_last"))
     return slots, g

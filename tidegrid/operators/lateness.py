@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.text import is_number, symbol_key
+from tidegrid.functions.times import SECOND, floor_div
 
 HOUR = 3600
 PUBLISH_AFTER = 300
@@ -40,7 +41,7 @@ def panes(events: DataFrame, pane_seconds: int = HOUR, publish_after: int = PUBL
     (event_us, delivery_id, price). pane_start is in epoch seconds, also before 1970.
     A volume sum beyond 64 bits is null.
     """
-    start = (F.floor(F.col("event_us") / (pane_seconds * 1_000_000)) * pane_seconds).cast("bigint")
+    start = floor_div(F.col("event_us"), pane_seconds * SECOND) * pane_seconds
     rows = events.withColumn("pane_start", start).withColumn("arrival", arrival_class(F.col("pane_start"), pane_seconds, publish_after, cut_off))
     mark = F.struct("event_us", "delivery_id", "price")
     return rows.groupBy("symbol", "pane_start", "arrival").agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.quantiles import exact_quantile
 from tidegrid.functions.shards import with_context
 from tidegrid.functions.text import id_key, is_number, signal_name, symbol_key
+from tidegrid.functions.times import SECOND, floor_div
 from tidegrid.operators.versions import first_by, latest_by
 
 LATE_SECONDS = 300
@@ -39,7 +40,7 @@ def normalise(raw: DataFrame, late_seconds: int = LATE_SECONDS, bar_minutes: int
     rows = rows.where(is_number(price) & (price > 0) & (price < F.lit(math.inf)))
     bar = bar_minutes * 60
     return rows.withColumn("is_late", F.unix_micros("ts_ingest") - F.unix_micros("ts_event") > late_seconds * 1_000_000).withColumn(
-        "window_start", F.timestamp_seconds(F.floor(F.unix_micros("ts_event") / (bar * 1_000_000)) * bar)
+        "window_start", F.timestamp_seconds(floor_div(F.unix_micros("ts_event"), bar * SECOND) * bar)
     )
 
 
@@ -61,7 +62,7 @@ def returns_and_volatility(events: DataFrame, window: int = VOLATILITY_WINDOW) -
     days with ``window`` rows of context, so a hot symbol is spread over its days.
     """
     rows = events.select("symbol", "ts_event", "event_id", "price", "ts_ingest", "window_start").withColumn("_day", F.to_date("ts_event"))
-    sharded = with_context(rows, ["symbol"], "_day", ["ts_event", "event_id"], window)
+    sharded = with_context(rows, ["symbol"], "_day", ["ts_event", "event_id"], window, ["price"])
     line = Window.partitionBy("symbol", "_day").orderBy("ts_event", "event_id")
     back = sharded.withColumn("return_1m", F.col("price") / F.lag("price").over(line) - 1)
     frame = line.rowsBetween(-(window - 1), 0)

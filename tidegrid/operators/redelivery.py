@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import bloom
 from tidegrid.functions.text import id_key
+from tidegrid.functions.times import DAY, floor_div
 from tidegrid.session import bounded_broadcast, stage
 
 BUCKET_DAYS = 7
@@ -26,7 +27,7 @@ UNDATED = 1 << 30
 
 
 def _keyed(deliveries: DataFrame, bucket_days: int) -> DataFrame:
-    bucket = F.floor(F.unix_micros("ts_ingest") / F.lit(bucket_days * 86_400_000_000)).cast("int")
+    bucket = floor_div(F.unix_micros("ts_ingest"), bucket_days * DAY).cast("int")
     rows = deliveries.select(id_key(F.col("event_id")).alias("event_id"), F.coalesce(bucket, F.lit(UNDATED)).alias("bucket"), F.coalesce(F.unix_micros("ts_ingest"), F.lit((1 << 63) - 1)).alias("us"), "delivery_id")
     return rows.where(F.col("event_id").isNotNull())
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.text import is_number
+from tidegrid.functions.times import day_number  # noqa: F401
 
 
 def current_rows(df: DataFrame, grain: Sequence[Column | str], order: Sequence[str], value: str) -> DataFrame:
@@ -50,11 +51,6 @@ def rolling_totals(daily: DataFrame, entity: Sequence[str], periods: Sequence[in
     return out
 
 
-def day_number(ts: Column) -> Column:
-    """Integer UTC day number of a timestamp."""
-    return F.floor(F.unix_micros(ts) / 86_400_000_000).cast("int")
-
-
 def day_text(day: Column) -> Column:
     return F.date_format(F.date_from_unix_date(day), "yyyy-MM-dd")
 

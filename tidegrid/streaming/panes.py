@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidegrid.functions.times import SECOND, floor_div
 from tidegrid.operators.lateness import CUT_OFF, HOUR, PUBLISH_AFTER, arrival_class, compose, usable
 from tidegrid.operators.versions import latest_by
 from tidegrid.session import stage
@@ -21,7 +22,7 @@ from tidegrid.session import stage
 
 def changed_panes(events: DataFrame, pane_seconds: int = HOUR, publish_after: int = PUBLISH_AFTER, cut_off: int = CUT_OFF) -> DataFrame:
     """Streaming aggregate of the panes; in update mode a batch yields the panes it changed."""
-    start = (F.floor(F.col("event_us") / (pane_seconds * 1_000_000)) * pane_seconds).cast("bigint")
+    start = floor_div(F.col("event_us"), pane_seconds * SECOND) * pane_seconds
     rows = events.withColumn("pane_start", start).withColumn("arrival", arrival_class(F.col("pane_start"), pane_seconds, publish_after, cut_off))
     mark = F.struct("event_us", "delivery_id", "price")
     return rows.groupBy("symbol", "pane_start", "arrival").agg(F.count("*").alias("events"), F.try_sum("volume").alias("volume"), F.sum("price").alias("notional"), F.min("price").alias("low"), F.max("price").alias("high"), F.min(mark).alias("opening"), F.max(mark).alias("closing"))
