@@ -143,3 +143,9 @@ def plan(mandates: Sequence[Version], policies: Sequence[Version], start: date,
 def frame(spark: SparkSession, versions: Sequence[Version]) -> DataFrame:
     """(name, owner, fingerprint, effective_from, effective_to) for joins; at most MOST_VERSIONS rows."""
     return spark.createDataFrame([(v.name, v.owner, v.fingerprint, v.start, v.end) for v in versions], "name string, owner string, fingerprint string, effective_from date, effective_to date")
+
+
+def constituent_frame(spark: SparkSession, mandates: Sequence[Version]) -> DataFrame:
+    """(portfolio_id, definition_fingerprint, base_currency, size, component, weight) of definitions, for alignment."""
+    rows = [(v.owner, v.content["definition_fingerprint"], v.content["base_currency"], len(v.content["constituents"]), f"{c['source'].lower()}:{c['symbol']}", c["weight"]) for v in mandates for c in v.content["constituents"]]
+    return spark.createDataFrame(rows, "portfolio_id string, definition_fingerprint string, base_currency string, size int, component string, weight double").distinct()

@@ -29,6 +29,8 @@ class ConflictError(QualityError):
 
 def by_hour(df: DataFrame, stamp: str = "ts_ingest") -> DataFrame:
     """Adds the partition columns year, month, day and hour (UTC, zero-padded); rows without a stamp get nulls."""
+    if clash := [c for c in HOUR if c in df.columns]:
+        raise ValueError("columns named like partitions: " + ", ".join(clash))
     part = lambda p: F.date_format(stamp, p)
     return df.withColumns({"year": part("yyyy"), "month": part("MM"), "day": part("dd"), "hour": part("HH")})
 
@@ -75,7 +77,7 @@ def append_raw(incoming: DataFrame, path: str, schema: T.StructType, key: str =
 def append_curated(records: DataFrame, path: str, key: Sequence[str], stamp: str = "ts_ingest") -> int:
     """Append the records whose key is not in the dataset yet, by hour of ``stamp``; the number written."""
     spark = records.sparkSession
-    stored = read_store(spark, path, records.schema)
+    stored = read_store(spark, path, by_hour(records, stamp).drop(*HOUR).schema)
     new = stage(records.dropDuplicates(list(key)).join(stored.select(*key), list(key), "left_anti"), "curated-new")
     n = new.count()
     if n:
