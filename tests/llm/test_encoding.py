@@ -47,6 +47,15 @@ def test_ids_equal_the_library(spark, reference):
         assert got[i] == reference(t), t
 
 
+def test_many_words_are_joined(spark, reference, monkeypatch):
+    monkeypatch.setattr(encoding, "BROADCAST_WORDS", 3)
+    df = frame(spark, [*TEXTS, TEXTS[0]])
+    got = {r.doc_id: r.ids for r in encoding.encode(df).collect()}
+    counts = {r.doc_id: r.tokens for r in encoding.token_counts(df).collect()}
+    for i, t in enumerate([*TEXTS, TEXTS[0]]):
+        assert got[i] == reference(t) and counts[i] == len(got[i])
+
+
 def test_round_trip_and_counts(spark, reference):
     df = frame(spark, TEXTS)
     ids = encoding.encode(df)

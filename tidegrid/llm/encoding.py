@@ -23,7 +23,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.session import bounded_broadcast, is_small, stage
+from tidegrid.session import is_small, stage
 
 #: Folder of the vocabulary files; set TIDEGRID_TOKENIZERS to use another.
 TOKENIZERS = os.environ.get("TIDEGRID_TOKENIZERS", "/opt/tokenizers")
@@ -33,8 +33,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Number of small maps of the rank literal.
 SHELVES = 1 << 12
 NO_RANK = (1 << 31) - 1
-#: Distinct words are broadcast up to this number, else joined by a shuffle.
-BROADCAST_WORDS = 400_000
+#: Codes of up to so many distinct words are sent to the executors, else joined by a shuffle.
+BROADCAST_WORDS = 200_000
+#: Number of small maps of those codes.
+CODE_SHELVES = 1 << 15
 
 
 @lru_cache(maxsize=4)
@@ -104,35 +106,56 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))
 
 
+def _codes(documents: DataFrame, text: str, path: str) -> DataFrame:
+    """(word, ids) of the distinct words of all texts, staged."""
+    words = documents.select(F.explode(words_of(F.col(text))).alias("word")).distinct()
+    return stage(encode_words(words, path), "word-codes")
+
+
+def _ids_in_row(documents: DataFrame, codes: DataFrame, text: str) -> DataFrame:
+    """``documents`` with ``ids``, looked up word by word in the row: no shuffle.
+
+    The codes come as a scalar subquery, one array of small maps like the rank
+    literal; only for codes of a checked size.
+    """
+    shelf = lambda word: (F.crc32(word.cast("binary")) % CODE_SHELVES).cast("int")
+    filled = codes.groupBy(shelf(F.col("word")).alias("shelf")).agg(F.collect_list(F.struct("word", "ids")).alias("entries"))
+    every = codes.sparkSession.range(CODE_SHELVES).select(F.col("id").cast("int").alias("shelf")).join(filled, "shelf", "left")
+    shelves = every.agg(F.array_sort(F.collect_list(F.struct("shelf", F.coalesce("entries", F.array().cast(filled.schema["entries"].dataType)).alias("entries")))).alias("a"))
+    book = shelves.select(F.transform("a", lambda x: F.map_from_entries(x["entries"])).alias("book"))
+    words = words_of(F.coalesce(text, F.lit("")))
+    return documents.withColumn("_book", book.scalar()).withColumn("ids", _bind(F.col("_book"), lambda b: F.flatten(F.transform(words, lambda w: F.get(b, shelf(w))[w])))).drop("_book")
+
+
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids): the token ids of every row, without special tokens.
 
     Null and empty texts have the empty list. The strings of special tokens are
     ordinary text. Rows that share a key are encoded separately; other columns are
     ignored. Texts of any length are encoded whole; one row holds all ids of its
-    text.
+    text. Up to BROADCAST_WORDS distinct words the codes are looked up in the row;
+    beyond, words and codes are joined by a shuffle.
     """
     path = os.path.join(folder or TOKENIZERS, vocabulary)
-    split = documents.select(F.col(key), words_of(F.col(text)).alias("words"))
-    distinct = split.select(F.explode("words").alias("word")).distinct()
-    codes = stage(encode_words(distinct, path), "word-codes")
-    parts = documents.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = documents.select(key, text, F.monotonically_increasing_id().alias("_row")).repartition(int(parts), key).select(F.col(key), "_row", F.posexplode_outer(words_of(F.col(text))).alias("pos", "word"))
-    joined = placed.join(bounded_broadcast(codes, BROADCAST_WORDS), "word", "left")
+    texts = documents.select(key, text)
+    codes = _codes(texts, text, path)
+    if is_small(codes, BROADCAST_WORDS):
+        return _ids_in_row(texts, codes, text).select(key, "ids")
+    placed = texts.withColumn("_row", F.monotonically_increasing_id()).select(F.col(key), "_row", F.posexplode_outer(words_of(F.col(text))).alias("pos", "word"))
+    joined = placed.join(codes, "word", "left")
     ordered = F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))))
-    # placed by key, so that no further shuffle is needed
     return joined.groupBy(key, "_row").agg(F.flatten(F.transform(ordered, lambda w: w["ids"])).alias("ids")).drop("_row")
 
 
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, tokens): the number of tokens of every row, by the same codes."""
+    """(key, tokens): the number of tokens of every key, by the same codes."""
     path = os.path.join(folder or TOKENIZERS, vocabulary)
+    sizes = _codes(documents, text, path).select("word", F.size("ids").cast("bigint").alias("size"))
     words = documents.select(F.col(key), F.explode_outer(words_of(F.col(text))).alias("word"))
-    codes = stage(encode_words(words.where("word is not null").select("word").distinct(), path), "word-codes").select("word", F.size("ids").cast("bigint").alias("size"))
-    if is_small(codes, BROADCAST_WORDS):
-        sized = words.join(F.broadcast(codes), "word", "left")
+    if is_small(sizes, BROADCAST_WORDS):
+        sized = words.join(F.broadcast(sizes), "word", "left")
     else:  # a frequent word then reaches the shuffle once per document
-        sized = words.groupBy(key, "word").agg(F.count("*").alias("n")).join(codes, "word", "left").withColumn("size", F.col("n") * F.col("size"))
+        sized = words.groupBy(key, "word").agg(F.count("*").alias("n")).join(sizes, "word", "left").withColumn("size", F.col("n") * F.col("size"))
     return sized.groupBy(key).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("tokens"))
 
 
