@@ -461,6 +461,56 @@ def checks_outbox(spark, folder):
     return checks.outbox_checks(_outbox(spark, folder), _current_outbox(spark, folder), table(spark, folder, "portfolio_risk_limit_evaluations"))
 
 
+@query
+def checks_limits_evidence(spark, folder):
+    """The reference's other checks of limits; here acknowledgements are the derived ones."""
+    stored = stage(_stored_evaluations(spark, folder), "stored")
+    latest = stage(limits.latest_evaluations(stored), "latest")
+    return checks.limit_reconciliation(stored, latest, table(spark, folder, "portfolio_risk_attribution").dropDuplicates(), stage(_acknowledgements(spark, folder), "acknowledgements"))
+
+
+@query
+def checks_lifecycle_episodes(spark, folder):
+    """The reference's other checks of transitions and episodes."""
+    moves = stage(limits.transitions(_latest_evaluations(spark, folder)), "moves")
+    return checks.lifecycle_reconciliation(moves, stage(limits.episodes(moves), "episodes"))
+
+
+@query
+def checks_outbox_candidates(spark, folder):
+    """The reference's other checks of the outbox against the transitions."""
+    moves, outbox = stage(limits.transitions(_latest_evaluations(spark, folder)), "moves"), _outbox(spark, folder)
+    return checks.outbox_reconciliation(outbox, stage(limits.current_outbox(outbox, moves), "current"), moves, _stored_evaluations(spark, folder))
+
+
+@query
+def checks_daily_history(spark, folder):
+    """The reference's other checks of daily returns and of the views with a dimension."""
+    keyed = lambda df: df.withColumn("source", id_key(F.col("source"))).withColumn("symbol", symbol_key(F.col("symbol")))
+    raw, dims = table(spark, folder, "market_events_raw"), versions.bounded_broadcast(table(spark, folder, "symbol_grid").select("symbol", "period_seconds"))
+    events = stage(_deduped(spark, folder), "events")
+    risk = stage(daily.daily_risk(daily.daily_closes(events), volatility_window=VOL_WINDOW, var_window=VAR_WINDOW), "daily")
+    latest = stage(market.risk_summary(stage(market.returns_and_volatility(events, VOL_WINDOW), "moves"), 0.03, 0.07), "risk")
+    returns = table(spark, folder, "daily_returns").where("ts_event is not null")
+    return checks.daily_reconciliation(keyed(returns), keyed(raw), events, risk, risk.join(dims, "symbol", "left"), latest, latest.join(dims, "symbol", "left"), max(VOL_WINDOW, VAR_WINDOW))
+
+
+@query
+def checks_portfolio_history(spark, folder):
+    """The reference's other checks of portfolio returns."""
+    stored = stage(table(spark, folder, "portfolio_daily_returns").where("ts_event is not null").dropDuplicates(), "stored")
+    risk = stage(portfolio.portfolio_risk(portfolio.portfolio_returns(_aligned(spark, folder)), VOL_WINDOW, VAR_WINDOW), "portfolio")
+    return checks.portfolio_reconciliation(stored, table(spark, folder, "daily_returns"), risk, max(VOL_WINDOW, VAR_WINDOW))
+
+
+@query
+def checks_attribution_history(spark, folder):
+    """The reference's other checks of attributions, stored and computed."""
+    aligned = stage(_aligned(spark, folder), "aligned")
+    matrix = stage(portfolio.rolling_matrix(aligned, COV_WINDOW), "matrix")
+    snapshots = stage(portfolio.attribution_snapshots(aligned, matrix, COV_WINDOW), "snapshots")
+    return checks.attribution_reconciliation(table(spark, folder, "portfolio_risk_attribution").where("ts_event is not null").dropDuplicates(), snapshots, matrix)
+
 
 def _warehouse(spark, folder):
     names = ("data_quality_metrics", "portfolio_daily_returns", "portfolio_risk_attribution", "portfolio_risk_limit_evaluations", "portfolio_risk_notification_outbox")

@@ -394,3 +394,149 @@ JOIN (SELECT portfolio_id, definition_fingerprint, d, list(id) OVER (PARTITION B
         PARTS, ALIGNED, MATRIX, EULER,
     ),
 }
+
+_NEAR = "0.0000000001"
+_SNAPSHOT = "policy_id, policy_fingerprint, portfolio_id, definition_fingerprint, attribution_calculation_id, ts_event"
+STORED = "st AS (SELECT DISTINCT * FROM portfolio_risk_limit_evaluations WHERE ts_event IS NOT NULL)"
+ATTRIBUTIONS = f"att AS (SELECT DISTINCT * FROM portfolio_risk_attribution),\nam AS (SELECT *, CASE WHEN {_OBJ.format('component_contribution_share_json')} THEN component_contribution_share_json END AS shares FROM att)"
+ACKNOWLEDGED = f"""one AS (SELECT * FROM lat QUALIFY row_number() OVER (PARTITION BY calculation_id) = 1),
+asked AS (SELECT {_id('source_evaluation_calculation_id')} AS id, unnest([event_id, event_id || '-again']) AS request, epoch_us(ts_ingest) + 3600000000 AS t FROM ob WHERE delivery_disposition = 'pending' AND ts_ingest IS NOT NULL),
+ack AS (SELECT id, request, min(t) AS t FROM asked JOIN one ON one.calculation_id = id AND one.is_breach GROUP BY ALL HAVING min(t) >= min(epoch_us(one.ts_event))),
+bs AS (SELECT calculation_id, count(id) AS n, max(t) AS t, CASE WHEN count(id) > 0 THEN 'acknowledged' ELSE 'open' END AS state FROM one LEFT JOIN ack ON id = calculation_id WHERE is_breach GROUP BY calculation_id)"""
+ENDS = f"""ee AS (
+  SELECT {_SERIES}, episode_sequence, min(ts_event) FILTER (WHERE is_breach) AS t0, max(ts_event) FILTER (WHERE is_breach) AS t1, min(ts_event) FILTER (WHERE status = 'ok') AS t2,
+    count(*) FILTER (WHERE is_breach) AS n, count(*) FILTER (WHERE is_breach AND status = 'warning') AS nw, count(*) FILTER (WHERE is_breach AND status = 'critical') AS nc,
+    arg_min({{'id': calculation_id, 'status': status}}, (ts_event, ts_ingest, calculation_id)) FILTER (WHERE is_breach) AS o,
+    arg_max({{'id': calculation_id, 'status': status, 'excess': breach_excess}}, (ts_event, ts_ingest, calculation_id)) FILTER (WHERE is_breach) AS l,
+    arg_min({{'id': calculation_id, 'status': status, 'excess': breach_excess}}, (-severity_rank, -breach_excess, -observed_value, ts_event, ts_ingest, calculation_id)) FILTER (WHERE is_breach) AS p,
+    arg_min({{'id': calculation_id, 'ingest': ts_ingest}}, (ts_event, ts_ingest, calculation_id)) FILTER (WHERE status = 'ok') AS r
+  FROM num WHERE episode_sequence > 0 GROUP BY ALL),
+eo AS (SELECT *, lag(t2 IS NULL) OVER w AS was_open, lag(coalesce(t2, t1)) OVER w AS until FROM ee WINDOW w AS (PARTITION BY {_SERIES} ORDER BY t0, episode_sequence))"""
+ACTS = "act AS (SELECT * FROM tr WHERE transition_type IN ('opened', 'escalated', 'deescalated', 'resolved'))"
+_PAIRS = "FROM st e JOIN am a ON a.calculation_id = e.attribution_calculation_id"
+_TOLD = "t.calculation_id = c.source_evaluation_calculation_id AND t.transition_type = c.transition_type"
+_WHOLE = _TOLD + " AND t.previous_calculation_id IS NOT DISTINCT FROM c.source_previous_evaluation_calculation_id"
+_PAYLOAD = f"(CASE WHEN {_OBJ.format('payload_json')} THEN payload_json END)"
+_SAID = f"json_extract_string({_PAYLOAD}, '$.{{0}}')"
+
+
+def _unlike(*columns: str, left: str = "e", right: str = "a") -> str:
+    return " OR ".join(f"{left}.{c} <> {right}.{c}" for c in columns)
+
+
+ORACLES |= {
+    "checks_limits_evidence": _rows(
+        _suite(
+            _check("limits_attribution_missing", "SELECT count(*) FROM st WHERE NOT EXISTS (SELECT 1 FROM att WHERE att.calculation_id = st.attribution_calculation_id)"),
+            _check("limits_attribution_metadata_differs", f"SELECT count(*) {_PAIRS} WHERE e.attribution_model_version <> a.model_version OR {_unlike('portfolio_id', 'base_currency', 'definition_fingerprint', 'weighting_method', 'covariance_method', 'correlation_method', 'covariance_window', 'annualization_days', 'ts_event')}"),
+            _check("limits_attribution_ingest_differs", f"SELECT count(*) {_PAIRS} WHERE e.ts_ingest <> a.ts_ingest"),
+            _check("limits_attribution_not_current", "SELECT count(*) FROM lat WHERE NOT EXISTS (SELECT 1 FROM la WHERE la.calculation_id = lat.attribution_calculation_id)"),
+            _check(
+                "limits_observed_value_differs",
+                f"SELECT count(*) {_PAIRS} WHERE (metric_name = 'portfolio_volatility_annualized' AND abs(observed_value - portfolio_volatility_annualized) > {_NEAR}) OR (metric_name = 'largest_absolute_component_contribution_share' AND (abs(observed_value - list_max([abs(v) FOR v IN {_NUM.format('shares')}])) > {_NEAR} OR abs(observed_signed_value - CAST(json_extract_string(shares, '$.\"' || subject_key || '\"') AS DOUBLE)) > {_NEAR}))",
+            ),
+            _check("limits_latest_grain_repeated", f"SELECT count(*) FROM (SELECT 1 FROM lat GROUP BY {_SERIES}, ts_event HAVING count(*) <> 1)"),
+            _check("limits_snapshot_status_rows", f"SELECT count(*) FROM (SELECT 1 FROM lat GROUP BY {_SNAPSHOT})", f"SELECT count(*) FROM (SELECT DISTINCT {_SNAPSHOT} FROM lat)"),
+            _check("limits_snapshot_status_wrong", f"SELECT count(*) FROM (SELECT {_SNAPSHOT}, CASE WHEN bool_or(status = 'critical') THEN 'critical' WHEN bool_or(status = 'warning') THEN 'warning' ELSE 'ok' END AS s FROM lat GROUP BY ALL) x WHERE s <> (SELECT CASE max(CASE status WHEN 'critical' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'ok' END FROM lat WHERE ({_SNAPSHOT.replace('policy_id', 'lat.policy_id', 1)}) IS NOT DISTINCT FROM ({', '.join('x.' + c for c in _SNAPSHOT.split(', '))}))"),
+            _check("limits_acknowledgement_orphans", "SELECT count(*) FROM ack WHERE id NOT IN (SELECT calculation_id FROM st WHERE calculation_id IS NOT NULL)"),
+            _check("limits_acknowledgement_target_invalid", "SELECT count(*) FROM ack JOIN st ON calculation_id = id WHERE NOT is_breach OR t < epoch_us(ts_event)"),
+            _check("limits_acknowledgement_request_repeated", "SELECT count(*) FROM (SELECT 1 FROM ack GROUP BY id, request HAVING count(*) > 1)"),
+            _check("limits_acknowledgement_history_rows", "SELECT count(*) FROM ack WHERE id IN (SELECT calculation_id FROM st)", "SELECT count(*) FROM ack"),
+            _check("limits_breach_status_rows", "SELECT count(*) FROM bs", "SELECT count(DISTINCT calculation_id) FROM one WHERE is_breach"),
+            _check("limits_open_and_acknowledged_rows", "SELECT (SELECT count(*) FROM bs WHERE state = 'open') + (SELECT count(*) FROM bs WHERE state = 'acknowledged')", "SELECT count(DISTINCT calculation_id) FROM one WHERE is_breach"),
+            _check("limits_breach_status_not_latest", "SELECT count(*) FROM bs WHERE n <> (SELECT count(*) FROM ack WHERE id = calculation_id) OR t IS DISTINCT FROM (SELECT max(ack.t) FROM ack WHERE id = calculation_id) OR (state = 'acknowledged') <> EXISTS (SELECT 1 FROM ack WHERE id = calculation_id)"),
+        ),
+        LATEST, OUTBOX, STORED, ATTRIBUTIONS, ATTRIBUTED, ACKNOWLEDGED,
+    ),
+    "checks_lifecycle_episodes": _rows(
+        _suite(
+            _check("lifecycle_transition_contract_broken", "SELECT count(*) FROM tr WHERE transition_type NOT IN ('initial_ok', 'opened', 'escalated', 'deescalated', 'resolved', 'unchanged') OR (status = 'ok' AND severity_rank <> 0) OR (status = 'warning' AND severity_rank <> 1) OR (status = 'critical' AND severity_rank <> 2) OR (transition_type = 'opened' AND NOT is_breach) OR (transition_type = 'resolved' AND (status <> 'ok' OR is_breach))"),
+            _check("lifecycle_resolution_per_resolved_episode", "SELECT count(*) FROM ee WHERE t2 IS NOT NULL", "SELECT count(*) FROM tr WHERE transition_type = 'resolved'"),
+            _check("lifecycle_episode_figures_wrong", "SELECT count(*) FROM ee WHERE n <= 0 OR n <> nw + nc OR o.status NOT IN ('warning', 'critical') OR l.status NOT IN ('warning', 'critical') OR p.status NOT IN ('warning', 'critical') OR t0 > t1 OR p.excess < 0 OR l.excess < 0"),
+            _check("lifecycle_episode_resolution_wrong", "SELECT count(*) FROM ee WHERE r IS NOT NULL AND (r.id IS NULL OR r.ingest IS NULL OR t2 <= t1)"),
+            _check("lifecycle_episode_boundary_wrong", "SELECT count(*) FROM ee LEFT JOIN tr a ON a.calculation_id = o.id LEFT JOIN tr b ON b.calculation_id = l.id LEFT JOIN tr c ON c.calculation_id = p.id LEFT JOIN tr d ON d.calculation_id = r.id WHERE a.calculation_id IS NULL OR a.transition_type <> 'opened' OR NOT a.is_breach OR b.calculation_id IS NULL OR NOT b.is_breach OR c.calculation_id IS NULL OR NOT c.is_breach OR (t2 IS NOT NULL AND (d.calculation_id IS NULL OR d.transition_type <> 'resolved' OR d.status <> 'ok' OR d.is_breach))"),
+            _check("lifecycle_episode_keys_surplus", f"SELECT count(*) - count(DISTINCT ({_SERIES}, t0)) FROM ee"),
+            _check("lifecycle_episodes_overlap", "SELECT count(*) FROM eo WHERE was_open OR t0 <= until"),
+            _check("lifecycle_open_episode_is_stale", f"SELECT count(*) FROM (SELECT DISTINCT {_SERIES}, episode_sequence FROM ee JOIN (SELECT {_SERIES}, ts_event FROM tr) k USING ({_SERIES}) WHERE t2 IS NULL AND ts_event > t1)"),
+        ),
+        LATEST, TRANSITIONS, EPISODES, ENDS,
+    ),
+    "checks_outbox_candidates": _rows(
+        _suite(
+            _check("outbox_current_per_actionable_transition", "SELECT count(*) FROM cob", "SELECT count(*) FROM act"),
+            _check("outbox_summary_reconciles", "SELECT sum(n) FROM (SELECT count(*) AS n FROM cob GROUP BY policy_id, portfolio_id, metric_name, event_type, delivery_disposition)", "SELECT count(*) FROM cob"),
+            _check("outbox_previous_evaluation_orphans", "SELECT count(*) FROM ob WHERE source_previous_evaluation_calculation_id IS NOT NULL AND source_previous_evaluation_calculation_id NOT IN (SELECT calculation_id FROM st WHERE calculation_id IS NOT NULL)"),
+            _check(
+                "outbox_transition_metadata_differs",
+                f"SELECT count(*) FROM cob c JOIN act t ON {_TOLD} WHERE {_unlike('policy_id', 'portfolio_id', 'ts_event', 'metric_name', 'subject_type', 'subject_key', 'severity_rank', left='c', right='t')} OR c.previous_status IS DISTINCT FROM t.previous_status OR c.current_status <> t.status OR abs(c.observed_value - t.observed_value) > {_NEAR} OR abs(c.warning_threshold - t.warning_threshold) > {_NEAR} OR abs(c.critical_threshold - t.critical_threshold) > {_NEAR}",
+            ),
+            _check("outbox_transition_ingest_differs", f"SELECT count(*) FROM cob c JOIN act t ON {_TOLD} WHERE c.ts_ingest <> t.ts_ingest"),
+            _check("outbox_disposition_or_reason_wrong", "SELECT count(*) FROM ob WHERE (transition_type IN ('opened', 'escalated', 'resolved') AND (delivery_disposition <> 'pending' OR suppression_reason IS NOT NULL)) OR (transition_type = 'deescalated' AND (delivery_disposition <> 'suppressed' OR suppression_reason <> 'deescalation_not_routed'))"),
+            _check("outbox_payload_identity_differs", f"SELECT count(*) FROM ob WHERE {_PAYLOAD} IS NULL OR {_SAID.format('metric')} <> metric_name OR {_SAID.format('status')} <> current_status OR {_SAID.format('portfolio')} <> portfolio_id OR abs(TRY_CAST({_SAID.format('value')} AS DOUBLE) - observed_value) > {_NEAR}"),
+            _check("outbox_candidate_missing", f"SELECT count(*) FROM act t WHERE NOT EXISTS (SELECT 1 FROM cob c WHERE {_WHOLE})"),
+            _check("outbox_current_is_stale", f"SELECT count(*) FROM cob c WHERE NOT EXISTS (SELECT 1 FROM act t WHERE {_WHOLE})"),
+        ),
+        LATEST, TRANSITIONS, OUTBOX, CURRENT, ACTS, STORED,
+    ),
+}
+
+_KEYED = f"{_id('source')} AS s, {_sym('symbol')} AS y"
+_PGRAIN = "portfolio_id, definition_fingerprint, ts_event, model_version, weighting_method"
+_AGRAIN = "portfolio_id, definition_fingerprint, ts_event, model_version, weighting_method, covariance_method, correlation_method, covariance_window, annualization_days"
+_JSONS = {"w": "weights_json", "i": "component_calculation_ids_json", "r": "component_returns_json", "c": "contributions_json"}
+_READ = ", ".join(f"CASE WHEN {_OBJ.format(c)} THEN {c} END AS {k}" for k, c in _JSONS.items())
+PORTFOLIO_STORED = f"""ps AS (SELECT DISTINCT * FROM portfolio_daily_returns WHERE ts_event IS NOT NULL),
+pj AS (SELECT *, {_READ} FROM ps),
+pl AS (SELECT * FROM pj QUALIFY row_number() OVER (PARTITION BY {_PGRAIN} ORDER BY ts_ingest DESC NULLS LAST, calculation_id DESC NULLS LAST) = 1),
+pk AS (SELECT CAST(json_extract_string(w, '$."' || k || '"') AS DOUBLE) AS wv, CAST(json_extract_string(r, '$."' || k || '"') AS DOUBLE) AS rv, CAST(json_extract_string(c, '$."' || k || '"') AS DOUBLE) AS cv FROM (SELECT *, unnest(json_keys(c)) AS k FROM pj WHERE w IS NOT NULL AND r IS NOT NULL AND c IS NOT NULL)),
+pc AS (SELECT json_extract_string(i, '$."' || k || '"') AS id FROM (SELECT *, unnest(json_keys(i)) AS k FROM pj WHERE i IS NOT NULL)),
+px2 AS (
+  SELECT portfolio_id, definition_fingerprint, d, row_number() OVER k AS n, count(*) OVER q AS nq, count(*) OVER v AS nv FROM pr
+  WINDOW k AS (PARTITION BY portfolio_id, definition_fingerprint ORDER BY d), v AS (PARTITION BY portfolio_id, definition_fingerprint ORDER BY d ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), q AS (PARTITION BY portfolio_id, definition_fingerprint ORDER BY d ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"""
+ATTRIBUTION_STORED = f"""att AS (SELECT DISTINCT * FROM portfolio_risk_attribution WHERE ts_event IS NOT NULL),
+al2 AS (SELECT *, CASE WHEN {_OBJ.format('component_contribution_share_json')} THEN component_contribution_share_json END AS sh FROM att QUALIFY row_number() OVER (PARTITION BY {_AGRAIN} ORDER BY ts_ingest DESC NULLS LAST, calculation_id DESC NULLS LAST) = 1),
+sn AS (SELECT portfolio_id, definition_fingerprint, d, sum(weight * m) AS variance, any_value(vol) AS vol FROM es GROUP BY ALL),
+mn AS (SELECT portfolio_id, definition_fingerprint, d, count(*) FILTER (WHERE corr IS NULL) AS nulls, count(*) AS cells, count(corr) AS defined FROM mx GROUP BY ALL)"""
+_KEYS = " OR ".join([*(f"{k} IS NULL OR len(json_keys({k})) <> constituent_count" for k in _JSONS), *(f"list_sort(json_keys(w)) <> list_sort(json_keys({k}))" for k in "irc")])
+
+ORACLES |= {
+    "checks_daily_history": _rows(
+        _suite(
+            _check("core_finance_rows", "SELECT count(*) FROM summary LEFT JOIN symbol_grid USING (symbol)", "SELECT count(*) FROM summary"),
+            _check("daily_return_event_orphans", "SELECT count(*) FROM dn WHERE NOT EXISTS (SELECT 1 FROM rk WHERE rk.event_id = dn.source_event_id AND rk.s = dn.s AND rk.y = dn.y AND rk.ts_event = dn.ts_event)"),
+            _check("daily_summary_event_orphans", "SELECT count(*) FROM daily WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM dd WHERE dd.event_id = daily.event_id AND dd.source = daily.source AND dd.symbol = daily.symbol AND dd.e // 86400000000 = daily.d)"),
+            _check("daily_summary_grain_repeated", "SELECT count(*) FROM (SELECT 1 FROM daily WHERE n > 1 GROUP BY source, symbol, d HAVING count(*) > 1)"),
+            _check("daily_ready_history_too_short", "SELECT count(*) FROM daily WHERE n - 1 >= 10 AND (nq < 10 OR nv <> 5 OR vol IS NULL)"),
+            _check("daily_semantic_rows", "SELECT count(*) FROM daily LEFT JOIN symbol_grid USING (symbol) WHERE n > 1", "SELECT count(*) FROM daily WHERE n > 1"),
+        ),
+        EV, DD, MOVES, SUMMARY, CLOSES, DAILY, DAYS, f"rk AS (SELECT event_id, {_KEYED}, ts_event FROM market_events_raw)",
+    ),
+    "checks_portfolio_history": _rows(
+        _suite(
+            _check("portfolio_component_return_orphans", "SELECT count(*) FROM pc WHERE NOT EXISTS (SELECT 1 FROM daily_returns r WHERE r.calculation_id = pc.id)"),
+            _check("portfolio_component_keys_wrong", f"SELECT count(*) FROM pj WHERE {_KEYS}"),
+            _check("portfolio_weights_off_one", f"SELECT count(*) FROM pj WHERE abs(list_sum({_NUM.format('w')}) - 1) > 0.000000001"),
+            _check("portfolio_contributions_off_return", f"SELECT count(*) FROM pj WHERE abs(list_sum({_NUM.format('c')}) - portfolio_return_1d) > 0.000000000001"),
+            _check("portfolio_contributions_off_product", "SELECT count(*) FROM pk WHERE abs(cv - wv * rv) > 0.000000000001"),
+            _check("portfolio_latest_grain_repeated", f"SELECT count(*) FROM (SELECT 1 FROM pl GROUP BY {_PGRAIN} HAVING count(*) > 1)"),
+            _check("portfolio_latest_is_stale", f"SELECT count(*) FROM pl JOIN ps USING ({_PGRAIN}) WHERE (ps.ts_ingest, ps.calculation_id) > (pl.ts_ingest, pl.calculation_id)"),
+            _check("portfolio_contribution_rows", "SELECT coalesce(sum(len(json_keys(c))), 0) FROM pl", "SELECT sum(constituent_count) FROM pl"),
+            _check("portfolio_summary_grain_repeated", "SELECT count(*) FROM (SELECT 1 FROM pr GROUP BY portfolio_id, definition_fingerprint, d HAVING count(*) > 1)"),
+            _check("portfolio_ready_history_too_short", "SELECT count(*) FROM px2 WHERE n >= 10 AND (nq < 10 OR nv < 5)"),
+        ),
+        PARTS, ALIGNED, PORTFOLIO_STORED,
+    ),
+    "checks_attribution_history": _rows(
+        _suite(
+            _check("attribution_ids_surplus", _surplus("att")),
+            _check("attribution_latest_grain_repeated", f"SELECT count(*) FROM (SELECT 1 FROM al2 GROUP BY {_AGRAIN} HAVING count(*) > 1)"),
+            _check("attribution_latest_is_stale", f"SELECT count(*) FROM al2 JOIN att USING ({_AGRAIN}) WHERE (att.ts_ingest, att.calculation_id) > (al2.ts_ingest, al2.calculation_id)"),
+            _check("attribution_stored_shares_wrong", f"SELECT count(*) FROM al2 WHERE sh IS NULL OR len(json_keys(sh)) <> constituent_count OR (volatility_status = 'positive' AND abs(list_sum({_NUM.format('sh')}) - 1) > 0.000000001) OR (volatility_status = 'zero' AND abs(list_sum({_NUM.format('sh')})) > 0.000000001)"),
+            _check("attribution_contribution_rows", "SELECT coalesce(sum(len(json_keys(sh))), 0) FROM al2", "SELECT sum(constituent_count) FROM al2"),
+            _check("attribution_variance_is_not_squared_volatility", f"SELECT count(*) FROM sn WHERE abs(variance - vol * vol) > {_NEAR}"),
+            _check("attribution_null_count_wrong", "SELECT count(*) FROM mn WHERE nulls <> cells - defined"),
+            _check("attribution_correlation_wrong", f"SELECT count(*) FROM mx a LEFT JOIN mx b ON a.portfolio_id = b.portfolio_id AND a.definition_fingerprint = b.definition_fingerprint AND a.d = b.d AND a.row_key = b.column_key AND a.column_key = b.row_key WHERE b.d IS NULL OR (a.corr IS NULL) <> (b.corr IS NULL) OR abs(a.corr - b.corr) > {_NEAR} OR abs(a.corr) > 1 + {_NEAR} OR (a.row_key = a.column_key AND abs(a.corr - 1) > {_NEAR})"),
+        ),
+        PARTS, ALIGNED, MATRIX, EULER, ATTRIBUTION_STORED,
+    ),
+}
