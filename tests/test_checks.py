@@ -40,3 +40,10 @@ def test_lifecycle_checks_see_overlap(alerts):
     twice = episodes.unionByName(episodes)
     found = actual(checks.lifecycle_reconciliation(moves, twice))
     assert n and found["lifecycle_episode_keys_surplus"] == n and found["lifecycle_episodes_overlap"] >= n
+
+
+def test_a_snapshot_without_a_metric_fails(spark):
+    row = lambda attribution, metric: ("p", "f", "q", "d", attribution, 1, metric)
+    rows = [row("whole", "a"), row("whole", "b"), row("lacks", "a"), row("twice", "a"), row("twice", "a")]
+    latest = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in checks.SNAPSHOT[:-1]) + ", ts_event int, metric_name string")
+    assert actual(checks.snapshot_checks(latest)) == {"limits_snapshot_has_not_two_metrics": 2}

@@ -237,6 +237,12 @@ def limit_reconciliation(stored: DataFrame, latest: DataFrame, attribution: Data
     )
 
 
+def snapshot_checks(latest: DataFrame) -> DataFrame:
+    """Snapshots of one attribution that have not exactly the two metrics, each once."""
+    per = latest.groupBy(*SNAPSHOT).agg(F.count("*").alias("n"), F.count_distinct("metric_name").alias("m"))
+    return suite([check("limits_snapshot_has_not_two_metrics", per.where("n <> 2 or m <> 2"))])
+
+
 def lifecycle_reconciliation(moves: DataFrame, episodes: DataFrame) -> DataFrame:
     """Transitions and episodes: kinds, counts, boundaries, resolutions, keys, overlap."""
     kind, status, breach = F.col("transition_type"), F.col("status"), F.col("is_breach")

@@ -469,6 +469,11 @@ def checks_limits_evidence(spark, folder):
     return checks.limit_reconciliation(stored, latest, table(spark, folder, "portfolio_risk_attribution").dropDuplicates(), stage(_acknowledgements(spark, folder), "acknowledgements"))
 
 
+@query
+def checks_limits_snapshots(spark, folder):
+    return checks.snapshot_checks(_latest_evaluations(spark, folder))
+
+
 @query
 def checks_lifecycle_episodes(spark, folder):
     """The reference's other checks of transitions and episodes."""

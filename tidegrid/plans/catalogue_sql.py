@@ -540,3 +540,7 @@ ORACLES |= {
         PARTS, ALIGNED, MATRIX, EULER, ATTRIBUTION_STORED,
     ),
 }
+
+ORACLES |= {
+    "checks_limits_snapshots": _rows(_suite(_check("limits_snapshot_has_not_two_metrics", f"SELECT count(*) FROM (SELECT 1 FROM lat GROUP BY {_SNAPSHOT} HAVING count(*) <> 2 OR count(DISTINCT metric_name) <> 2)")), LATEST),
+}
