@@ -27,6 +27,10 @@ TEXT_FIELDS = ("event_id", "symbol", "source")
 LEVEL_FIELDS = ("price", "volume")
 TIME_FIELDS = ("ts_event", "ts_ingest")
 FIELDS = ("event_id", "symbol", "price", "volume", "ts_event", "ts_ingest", "source")
+#: Every column of a delivery, in the table's order.
+COLUMNS = ("delivery_id", *FIELDS, "batch_id", "loaded_at")
+COLUMN_TEXTS = (*TEXT_FIELDS, "batch_id")
+COLUMN_TIMES = (*TIME_FIELDS, "loaded_at")
 REFERENCE_ROWS = 2_000
 FOLDS = 2
 #: A column is taken to tell a load apart if ablating it loses this much of the discrimination.
@@ -79,6 +83,39 @@ def distinct_values(rows: DataFrame, load: str = "batch_id") -> DataFrame:
     return long.where("value is not null").distinct().groupBy("load", "field").agg(F.count("*").alias("distinct_values"))
 
 
+def column_profile(rows: DataFrame, load: str = "batch_id") -> DataFrame:
+    """Exact figures with ranges, one row per load and column of ``COLUMNS``.
+
+    Columns: load, field, rows, nulls, blanks, invalid, distinct_values,
+    level_mean, and the range without NaN: low_text and high_text of text,
+    low_value and high_value of numbers and of times (microseconds of the epoch).
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    aggs, entries, values = [F.count("*").alias("rows")], [], []
+    for f in COLUMNS:
+        text, c = f in COLUMN_TEXTS, F.col(f)
+        number = F.unix_micros(f) if f in COLUMN_TIMES else F.when(is_number(c), c) if f == "price" else c
+        figures = {
+            "nulls": F.count_if(c.isNull()),
+            "blanks": F.count_if(is_blank(c)) if text else F.min(F.lit(0)).cast("bigint"),
+            "invalid": F.count_if(invalid(f)) if f in LEVEL_FIELDS else F.min(F.lit(0)).cast("bigint"),
+            "level_mean": F.avg(level(f)) if f in LEVEL_FIELDS else F.max(none("double")),
+            "low_text": F.min(c) if text else F.max(none("string")),
+            "high_text": F.max(c) if text else F.max(none("string")),
+            "low_value": F.max(none("double")) if text else F.min(number).cast("double"),
+            "high_value": F.max(none("double")) if text else F.max(number).cast("double"),
+        }
+        aggs += [figure.alias(f"{name}_{f}") for name, figure in figures.items()]
+        entries.append(F.struct(F.lit(f).alias("field"), *(F.col(f"{name}_{f}").alias(name) for name in figures)))
+        values.append(F.struct(F.lit(f).alias("field"), (trimmed(c) if text else c.cast("string")).alias("value")))
+    wide = rows.groupBy(F.col(load).alias("load")).agg(*aggs)
+    exact = wide.select("load", "rows", F.explode(F.array(*entries)).alias("p")).select("load", "rows", "p.*")
+    long = rows.select(F.col(load).alias("_load"), F.explode(F.array(*values)).alias("e")).select("_load", F.col("e.field").alias("_field"), F.col("e.value").alias("value"))
+    distinct = long.where("value is not null").distinct().groupBy("_load", "_field").agg(F.count("*").alias("distinct_values"))
+    out = exact.join(distinct, F.col("load").eqNullSafe(F.col("_load")) & (F.col("field") == F.col("_field")), "left").drop("_load", "_field")
+    return out.withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
+
+
 def _state(field: str) -> Column:
     """The column's state as a small integer: 0 present, 1 null, 2 blank or invalid."""
     c = F.col(field)

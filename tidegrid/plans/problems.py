@@ -55,6 +55,11 @@ def p3_profile(spark: SparkSession, folder: str) -> DataFrame:
     return figures.select("load", "field", "rows", "nulls", "blanks", "invalid", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"), F.round("level_mean", 6).alias("level_mean"))
 
 
+def p3_columns(spark: SparkSession, folder: str) -> DataFrame:
+    profile = drift.column_profile(table(spark, folder, "market_events_raw"))
+    return profile.select("load", "field", "rows", "nulls", "blanks", "invalid", "distinct_values", F.round("level_mean", 6).alias("level_mean"), "low_text", "high_text", "low_value", "high_value")
+
+
 def p3_drift(spark: SparkSession, folder: str) -> DataFrame:
     profile = drift.profile_loads(table(spark, folder, "market_events_raw"), table(spark, folder, "field_baseline"))
     return profile.select("load", "field", "rows", "null_rate", "level_mean", "discrimination", "ablation", "by_classifier", "by_figures")
@@ -100,7 +105,7 @@ def p6_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("symbol", F.col("window_start").alias("hour_start"), "revision", "events", "volume", F.round(F.col("average_price") + OFF_HALF, 6).alias("average_price"), "low", "high", "open_price", "close_price", "corrections", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_rolling, p3_found, p3_profile, p3_drift, p4_found, p4_kept, p5_found, p5_report, p6_found, p6_hourly)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_rolling, p3_found, p3_profile, p3_columns, p3_drift, p4_found, p4_kept, p5_found, p5_report, p6_found, p6_hourly)}
 
 _TRIM = "trim({0}, ' ' || chr(9))"
 _SYMBOL = "nullif(upper(trim(symbol, ' ' || chr(9))), '')"
@@ -220,3 +225,21 @@ rev AS (SELECT symbol, h, 0 AS revision, * EXCLUDE (symbol, h) FROM classed WHER
 agg AS (SELECT symbol, h, revision, count(*) AS events, CAST(sum(volume) AS BIGINT) AS volume, round(sum(price) / count(*) + {OFF_HALF}, 6) AS average_price, min(price) AS low, max(price) AS high, arg_min(price, (e, delivery_id)) AS open_price, arg_max(price, (e, delivery_id)) AS close_price FROM rev GROUP BY ALL)
 SELECT symbol, h AS hour_start, revision, events, volume, average_price, low, high, open_price, close_price, corrections, rejected FROM agg JOIN base USING (symbol, h)""",
 }
+
+
+def _column_figures(f: str) -> str:
+    text, level = f in drift.COLUMN_TEXTS, f in drift.LEVEL_FIELDS
+    number = f"epoch_us({f})" if f in drift.COLUMN_TIMES else f
+    kept = " FILTER (WHERE NOT isnan(price))" if f == "price" else ""
+    return f"""
+SELECT batch_id AS load, '{f}' AS field, count(*) AS rows, count(*) FILTER (WHERE {f} IS NULL) AS nulls,
+  {f"count(*) FILTER (WHERE {_TRIM.format(f)} = '')" if text else "CAST(0 AS BIGINT)"} AS blanks,
+  {"count(*) FILTER (WHERE isnan(price) OR price <= 0)" if f == "price" else "count(*) FILTER (WHERE volume < 0)" if f == "volume" else "CAST(0 AS BIGINT)"} AS invalid,
+  count(DISTINCT {_TRIM.format(f) if text else f}) AS distinct_values,
+  {f"round(avg(CASE WHEN {f} > 0 AND NOT isnan(CAST({f} AS DOUBLE)) THEN log10(CAST({f} AS DOUBLE)) END), 6)" if level else "CAST(NULL AS DOUBLE)"} AS level_mean,
+  {f"min({f})" if text else "CAST(NULL AS VARCHAR)"} AS low_text, {f"max({f})" if text else "CAST(NULL AS VARCHAR)"} AS high_text,
+  {"CAST(NULL AS DOUBLE)" if text else f"CAST((min({number}){kept}) AS DOUBLE)"} AS low_value, {"CAST(NULL AS DOUBLE)" if text else f"CAST((max({number}){kept}) AS DOUBLE)"} AS high_value
+FROM market_events_raw GROUP BY batch_id"""
+
+
+ORACLES["p3_columns"] = " UNION ALL ".join(_column_figures(f) for f in drift.COLUMNS)
