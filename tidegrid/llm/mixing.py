@@ -16,6 +16,8 @@ source.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,13 @@ def schedule(planned: DataFrame, block_tokens: int) -> DataFrame:
     for i in reversed(range(len(weights) - 1)):
         named = F.when(point < sum(w.weight for w in weights[: i + 1]), weights[i].source).otherwise(named)
     spark = planned.sparkSession
+    # a source may draw fewer slots than it has blocks: more are drawn until none lacks any
+    while weights:
+        got = {r.source: r["count"] for r in spark.range(slots).select(F.col("id").alias("slot")).select(named.alias("source")).groupBy("source").count().collect()}  # one row per target
+        lacking = [(math.ceil(w.quota / block_tokens) - got.get(w.source, 0)) / w.weight for w in weights if w.quota > 0]
+        if max(lacking, default=0) <= 0:
+            break
+        slots += math.ceil(max(lacking)) + 1
     drawn = spark.range(slots).select(F.col("id").alias("slot")).withColumn("source", named).withColumn("_shard", F.floor(F.col("slot") / SHARD_ROWS))
     starts = offset(drawn.groupBy("source", "_shard").agg(F.count("*").alias("_size")), ["source"], "_shard", "_size", "_start").select("source", "_shard", "_start")
     within = Window.partitionBy("source", "_shard").orderBy("slot")
