@@ -47,15 +47,36 @@ def test_ids_equal_the_library(spark, reference):
         assert got[i] == reference(t), t
 
 
-def test_many_words_are_joined(spark, reference, monkeypatch):
-    monkeypatch.setattr(encoding, "BROADCAST_WORDS", 3)
-    df = frame(spark, [*TEXTS, TEXTS[0]])
+@pytest.mark.parametrize("room", [0, 600, 3000])
+def test_words_beyond_the_book_are_folded_in_their_row(spark, reference, monkeypatch, room):
+    monkeypatch.setattr(encoding, "BOOK_BYTES", room)
+    df = frame(spark, [*TEXTS, TEXTS[0], "w" * 300])
     got = {r.doc_id: r.ids for r in encoding.encode(df).collect()}
     counts = {r.doc_id: r.tokens for r in encoding.token_counts(df).collect()}
-    for i, t in enumerate([*TEXTS, TEXTS[0]]):
+    for i, t in enumerate([*TEXTS, TEXTS[0], "w" * 300]):
         assert got[i] == reference(t) and counts[i] == len(got[i])
 
 
+def test_the_book_keeps_its_bound(spark, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    df = frame(spark, [" ".join(words), " ".join(words[:20]), " ".join(words[:20])])
+    monkeypatch.setattr(encoding, "BOOK_BYTES", 40 * (encoding.ENTRY_BYTES + 5 * 4))
+    kept = {r.word for r in encoding.book_words(df, "text").collect()}
+    assert " w" in kept and sum(encoding.ENTRY_BYTES + 5 * len(w) for w in kept) <= encoding.BOOK_BYTES
+
+
+def test_no_merge_enables_a_pair_of_lower_rank():
+    """Merging all occurrences of a pair at once is the one-by-one order if each token is built by merges of rising rank."""
+    ranks = {bytes.fromhex(piece): rank for piece, rank in encoding.ranks(os.path.join(encoding.TOKENIZERS, encoding.VOCABULARY))}
+    for token in ranks:
+        parts, before = [token[i : i + 1] for i in range(len(token))], -1
+        while len(parts) > 1:
+            rank, at = min((ranks.get(parts[i] + parts[i + 1], encoding.NO_RANK), i) for i in range(len(parts) - 1))
+            assert before <= rank < encoding.NO_RANK, token
+            before = rank
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+
 def test_round_trip_and_counts(spark, reference):
     df = frame(spark, TEXTS)
     ids = encoding.encode(df)

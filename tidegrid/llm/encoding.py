@@ -1,12 +1,19 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer, in Spark expressions.
 
-Texts are cut into words by the tokenizer's pattern; each distinct word of the
-corpus is encoded once and the codes are joined back. A word is a string of
+Texts are cut into words by the tokenizer's pattern. A word is a string of
 pieces, each the hexadecimal form of its bytes in angle brackets. ``aggregate``
 folds the merges: every step looks up the ranks of all neighbouring pairs in a
 literal rank map and merges all occurrences of the pair of least rank, until no
-pair has a rank. The literal is an array of small maps addressed by CRC-32, as a
-look-up in one large map of Spark is a linear search.
+pair has a rank. In a vocabulary whose tokens are all built by merges of rising
+rank no merge enables a pair of lower rank, so that is the one-by-one order; the
+tests prove it token by token. The literal is an array of small maps addressed by
+CRC-32, as a look-up in one large map of Spark is a linear search.
+
+The words of the corpus are counted once. The most frequent ones, as many as a
+bound on their bytes admits, are folded once each and make up the code book,
+which goes to the executors as one value; a word outside the book is folded where
+it stands. Every text is encoded in its row: word occurrences are never shuffled,
+and the plan is the same for a corpus of any size.
 
 Decoding looks up the bytes of each id in a literal array and concatenates them.
 """
@@ -23,7 +30,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.session import is_small, stage
+from tidegrid.session import stage
 
 #: Folder of the vocabulary files; set TIDEGRID_TOKENIZERS to use another.
 TOKENIZERS = os.environ.get("TIDEGRID_TOKENIZERS", "/opt/tokenizers")
@@ -33,9 +40,14 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Number of small maps of the rank literal.
 SHELVES = 1 << 12
 NO_RANK = (1 << 31) - 1
-#: Codes of up to so many distinct words are sent to the executors, else joined by a shuffle.
-BROADCAST_WORDS = 200_000
-#: Number of small maps of those codes.
+#: Bound on the code book in memory. An entry counts as ENTRY_BYTES and five bytes per byte of the word
+#: (the word, and at most one id of four bytes per byte).
+BOOK_BYTES = 16 << 20
+ENTRY_BYTES = 64
+#: Longer words (in bytes) and rarer ones never enter the book: these are no cheaper there than in their rows.
+BOOK_WORD = 256
+BOOK_LEAST = 4
+#: Number of small maps of the book.
 CODE_SHELVES = 1 << 15
 
 
@@ -86,19 +98,28 @@ def _merge_least(s: Column, literal: Column) -> Column:
     return _bind(_pieces(s), lambda p: _bind(ranked(p), merged))
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of distinct non-empty words."""
-    coded = words.withColumn("_hex", F.hex(F.encode("word", "UTF-8")))
-    start = F.regexp_replace("_hex", "(..)", "<$1>")
-    steps = F.sequence(F.lit(1), (F.length("_hex") / 2).cast("int"))
+def _folded(word: Column, literal: Column) -> Column:
+    """The ids of a non-empty word, by folding its merges."""
 
-    def ids(literal: Column) -> Column:
-        whole = _rank(F.col("_hex"), literal)
+    def ids(h: Column) -> Column:
+        whole = _rank(h, literal)
+        start = F.struct(F.regexp_replace(h, "(..)", "<$1>").alias("s"), F.lit(False).alias("done"))
+        steps = F.sequence(F.lit(1), (F.length(h) / 2).cast("int"))
         step = lambda acc, _: F.when(acc["done"], acc).otherwise(_merge_least(acc["s"], literal))
-        folded = F.aggregate(steps, F.struct(start.alias("s"), F.lit(False).alias("done")), step, lambda acc: F.transform(_pieces(acc["s"]), lambda p: _rank(p, literal)))
+        folded = F.aggregate(steps, start, step, lambda acc: F.transform(_pieces(acc["s"]), lambda p: _rank(p, literal)))
         return F.coalesce(F.when(whole.isNotNull(), F.array(whole)), folded)
 
-    return coded.select("word", _bind(F.from_json(F.lit(_shelves(path)), "array<map<string,int>>"), ids).alias("ids"))
+    return _bind(F.hex(F.encode(word, "UTF-8")), ids)
+
+
+def _with_ranks(path: str, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the literal rank map."""
+    return _bind(F.from_json(F.lit(_shelves(path)), "array<map<string,int>>"), body)
+
+
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """(word, ids) of distinct non-empty words."""
+    return words.select("word", _with_ranks(path, lambda literal: _folded(F.col("word"), literal)).alias("ids"))
 
 
 def words_of(text: Column) -> Column:
@@ -106,25 +127,45 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))
 
 
-def _codes(documents: DataFrame, text: str, path: str) -> DataFrame:
-    """(word, ids) of the distinct words of all texts, staged."""
-    words = documents.select(F.explode(words_of(F.col(text))).alias("word")).distinct()
-    return stage(encode_words(words, path), "word-codes")
-
-
-def _ids_in_row(documents: DataFrame, codes: DataFrame, text: str) -> DataFrame:
-    """``documents`` with ``ids``, looked up word by word in the row: no shuffle.
+def book_words(documents: DataFrame, text: str) -> DataFrame:
+    """(word): the most frequent words of all texts, as many whole frequency classes as fit into BOOK_BYTES.
 
-    The codes come as a scalar subquery, one array of small maps like the rank
-    literal; only for codes of a checked size.
+    Words are counted with map-side combine; a histogram of a few hundred classes
+    (each count up to 64, then sixteenths of an octave) gives the least frequency
+    that enters, so nothing is sorted or collected.
     """
+    words = documents.select(F.explode(words_of(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = stage(words.where((F.octet_length("word") <= BOOK_WORD) & (F.col("n") >= BOOK_LEAST)), "word-counts")
+    count = F.col("n")
+    grade = F.when(count <= 64, count).otherwise(F.floor(F.log2(count.cast("double")) * 16) - 32).cast("int")
+    graded = counted.withColumn("grade", grade)
+    bytes_of = F.sum(F.lit(ENTRY_BYTES) + 5 * F.octet_length("word"))
+    room, least = BOOK_BYTES, None
+    for row in graded.groupBy("grade").agg(bytes_of.alias("bytes")).orderBy(F.desc("grade")).collect():  # a few hundred rows at most
+        room -= row["bytes"]
+        if room < 0:
+            break
+        least = row["grade"]
+    return graded.where(F.col("grade") >= least if least is not None else F.lit(False)).select("word")
+
+
+def _coded(documents: DataFrame, text: str, path: str, value: Callable[[Column], Column], kind: str) -> DataFrame:
+    """``documents`` with ``_coded``: ``value`` of the ids of each word of the text, in order. No shuffle of documents.
+
+    The book comes as a scalar subquery, an array of small maps like the rank literal.
+    """
+    codes = stage(encode_words(book_words(documents, text), path), "word-codes")
     shelf = lambda word: (F.crc32(word.cast("binary")) % CODE_SHELVES).cast("int")
-    filled = codes.groupBy(shelf(F.col("word")).alias("shelf")).agg(F.collect_list(F.struct("word", "ids")).alias("entries"))
+    filled = codes.groupBy(shelf(F.col("word")).alias("shelf")).agg(F.collect_list(F.struct("word", value(F.col("ids")).cast(kind).alias("code"))).alias("entries"))
     every = codes.sparkSession.range(CODE_SHELVES).select(F.col("id").cast("int").alias("shelf")).join(filled, "shelf", "left")
     shelves = every.agg(F.array_sort(F.collect_list(F.struct("shelf", F.coalesce("entries", F.array().cast(filled.schema["entries"].dataType)).alias("entries")))).alias("a"))
     book = shelves.select(F.transform("a", lambda x: F.map_from_entries(x["entries"])).alias("book"))
     words = words_of(F.coalesce(text, F.lit("")))
-    return documents.withColumn("_book", book.scalar()).withColumn("ids", _bind(F.col("_book"), lambda b: F.flatten(F.transform(words, lambda w: F.get(b, shelf(w))[w])))).drop("_book")
+
+    def looked(literal: Column) -> Column:
+        return _bind(F.col("_book"), lambda b: F.transform(words, lambda w: F.coalesce(F.get(b, shelf(w))[w], value(_folded(w, literal)).cast(kind))))
+
+    return documents.withColumn("_book", book.scalar()).withColumn("_coded", _with_ranks(path, looked)).drop("_book")
 
 
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -133,30 +174,19 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", folder
     Null and empty texts have the empty list. The strings of special tokens are
     ordinary text. Rows that share a key are encoded separately; other columns are
     ignored. Texts of any length are encoded whole; one row holds all ids of its
-    text. Up to BROADCAST_WORDS distinct words the codes are looked up in the row;
-    beyond, words and codes are joined by a shuffle.
+    text. The fold of one word takes time in proportion to its length times the
+    number of its different merges.
     """
     path = os.path.join(folder or TOKENIZERS, vocabulary)
-    texts = documents.select(key, text)
-    codes = _codes(texts, text, path)
-    if is_small(codes, BROADCAST_WORDS):
-        return _ids_in_row(texts, codes, text).select(key, "ids")
-    placed = texts.withColumn("_row", F.monotonically_increasing_id()).select(F.col(key), "_row", F.posexplode_outer(words_of(F.col(text))).alias("pos", "word"))
-    joined = placed.join(codes, "word", "left")
-    ordered = F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))))
-    return joined.groupBy(key, "_row").agg(F.flatten(F.transform(ordered, lambda w: w["ids"])).alias("ids")).drop("_row")
+    return _coded(documents.select(key, text), text, path, lambda ids: ids, "array<int>").select(key, F.flatten("_coded").alias("ids"))
 
 
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, tokens): the number of tokens of every key, by the same codes."""
+    """(key, tokens): the number of tokens of every key, over all its rows, by the same fold and book."""
     path = os.path.join(folder or TOKENIZERS, vocabulary)
-    sizes = _codes(documents, text, path).select("word", F.size("ids").cast("bigint").alias("size"))
-    words = documents.select(F.col(key), F.explode_outer(words_of(F.col(text))).alias("word"))
-    if is_small(sizes, BROADCAST_WORDS):
-        sized = words.join(F.broadcast(sizes), "word", "left")
-    else:  # a frequent word then reaches the shuffle once per document
-        sized = words.groupBy(key, "word").agg(F.count("*").alias("n")).join(sizes, "word", "left").withColumn("size", F.col("n") * F.col("size"))
-    return sized.groupBy(key).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("tokens"))
+    sizes = _coded(documents.select(key, text), text, path, F.size, "int")
+    tokens = F.aggregate("_coded", F.lit(0).cast("bigint"), lambda total, n: total + n)
+    return sizes.groupBy(key).agg(F.sum(tokens).alias("tokens"))
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
