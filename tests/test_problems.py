@@ -135,12 +135,42 @@ def test_profile_findings(spark, at):
 
 
 def test_classifier_names_the_changed_column(spark, at):
-    tests = {(r.load, r.field): r for r in drift.load_discrimination(loads(spark, at)).collect()}
+    tests = {(r.load, r.field): r for r in drift.load_discrimination(drift.cells(loads(spark, at))).collect()}
     alike = max(tests[f"L{i}", "price"].discrimination for i in (0, 1, 4, 6, 7))
     assert tests["L3", "price"].discrimination > 5 * alike
-    for load, field in (("L3", "price"), ("L5", "price")):
-        assert max(drift.FIELDS, key=lambda f: tests[load, f].ablation) == field
-        assert tests[load, field].ablation > drift.NOMINATE_AT
+    assert max(drift.FIELDS, key=lambda f: tests["L3", f].level_ablation) == "price" and tests["L3", "price"].level_ablation > drift.NOMINATE_LEVEL
+    assert max(drift.FIELDS, key=lambda f: tests["L5", f].null_ablation) == "price" and tests["L5", "price"].null_ablation > 0.01
+
+
+def test_the_classifier_decides_and_loses_no_change(spark, at):
+    """Every change that the rules confirm on given data is one that the classifier names; without it there are none."""
+    from tidegrid.sources.tables import table
+
+    folder = "/root/testdata/sf0.01"
+    profile = drift.profile_loads(table(spark, folder, "market_events_raw"), table(spark, folder, "field_baseline")).cache()
+    every = profile.withColumn("by_classifier", F.lit(True))
+    assert sets(drift.changes(profile), "load", "field", "finding") == sets(drift.changes(every), "load", "field", "finding") != []
+    assert drift.changes(profile.withColumn("by_classifier", F.lit(False)).withColumn("untested", F.lit(False))).count() == 0
+    named, all_columns = profile.where("by_classifier").count(), profile.count()
+    assert named < all_columns / 3
+    profile.unpersist()
+
+
+def test_cells_give_the_exact_figures(spark, at):
+    rows = loads(spark, at)
+    of_cells = {(r.load, r.field): r for r in drift.cell_profile(drift.cells(rows)).collect()}
+    for r in drift.base_profile(rows).collect():
+        cell = of_cells[r.load, r.field]
+        assert (r.rows, r.nulls, r.blanks, r.invalid) == (cell.rows, cell.nulls, cell.blanks, cell.invalid)
+        assert r.level_mean is None and cell.level_mean is None or abs(r.level_mean - cell.level_mean) < 1e-9
+
+
+def test_small_loads_are_left_to_the_rules(spark, at):
+    few = loads(spark, at).where("delivery_id % 10 = 0")
+    base = spark.createDataFrame(BASE, "field string, usual_null_rate double, usual_log10_mean double")
+    profile = drift.profile_loads(few, base)
+    assert profile.where("untested").count() == profile.count()
+    assert ("L3", "price", "level_shift") in sets(drift.changes(profile), "load", "field", "finding")
 
 
 def test_profile_of_nothing(spark):
@@ -229,5 +259,5 @@ def test_extreme_figures(spark, at):
     rows = delivery(spark, [(i, f"e{i}", "A", float("inf"), big, at("2024-01-01T00:10:00"), at("2024-01-01T00:11:00")) for i in range(3)])
     window = lateness.compose(lateness.panes(lateness.usable(rows))).first()
     assert window.events_final == 3 and window.volume_final is None
-    assert {r.field for r in drift.load_discrimination(rows).collect()} == set(drift.FIELDS)
+    assert {r.field for r in drift.load_discrimination(drift.cells(rows)).collect()} == set(drift.FIELDS)
     assert gridfill.regularize(rows, spark.createDataFrame([("A", 600, 0, 3600)], GRID)).where("not is_missing").first().price == float("inf")

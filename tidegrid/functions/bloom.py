@@ -42,19 +42,23 @@ def mask_of(*key: Column) -> Column:
     return mask
 
 
-def pack(df: DataFrame, words: int) -> DataFrame:
-    """(word, bits) with any number of rows per word -> (segment, words array)."""
-    zero = df.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
-    full = df.select("word", "bits").union(zero).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    slots = full.select(F.floor(F.col("word") / SEGMENT).alias("segment"), F.struct("word", "bits").alias("slot"))
+def pack(df: DataFrame) -> DataFrame:
+    """(word, bits), one row per set word -> (segment, words array); words never set are zeros, or left out at the end.
+
+    A segment without any set word has no row.
+    """
+    slots = df.select(F.floor(F.col("word") / SEGMENT).alias("segment"), F.struct((F.col("word") % SEGMENT).cast("int").alias("at"), "bits").alias("slot"))
     packed = slots.groupBy("segment").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
-    return packed.select("segment", F.col("slots.bits").alias("words"))
+    zero = F.lit(0).cast("bigint")
+    before = lambda i: F.coalesce(F.get("slots", i - 1)["at"], F.lit(-1))
+    dense = F.flatten(F.transform("slots", lambda x, i: F.concat(F.array_repeat(zero, x["at"] - F.when(i > 0, before(i)).otherwise(-1) - 1), F.array(x["bits"]))))
+    return packed.select("segment", dense.alias("words"))
 
 
 def build(keys: DataFrame, words: int, *cols: str) -> DataFrame:
     """The filter of the keys in ``cols`` as (segment, words)."""
     key = [F.col(c) for c in cols]
-    return pack(keys.select(word_of(words, *key).alias("word"), mask_of(*key).alias("bits")), words)
+    return pack(keys.select(word_of(words, *key).alias("word"), mask_of(*key).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")))
 
 
 def probe(df: DataFrame, packed: DataFrame, words: int, *key: Column, name: str = "maybe") -> DataFrame:

@@ -1,22 +1,28 @@
 """Column-level quality profile of loads, and what changed between them.
 
-Two aggregates run over the rows. The first holds the exact figures of every
-load: rows, nulls, blanks, invalid values, ranges, distinct values, mean
-levels. The second compresses every load to weighted cells (the state of each
-column, levels in steps of a tenth of a decade), at most a fixed number of cells
-per load however many rows it has. On the cells, one logistic regression per
-load is trained on the executors to tell the load from a reference sample of all
-loads: a classifier two-sample test. Two folds are cross-fitted: each fold is
-scored by the model of the other. ``discrimination`` is the difference of the mean
-scores of load and reference rows (0: alike); ``ablation`` is what of it is lost
-when one column's terms are held at their reference mean. The reference sample is
-bounded by ``REFERENCE_ROWS`` (the rows of least hash of the whole table).
+One scan compresses the rows of every load to weighted cells: the state of each
+column (present, null, defect), the decade of each level, and the sum of the levels
+in it. A load has a bounded number of cells however many rows it has. Exact base
+aggregates (null, blank and invalid counts, mean levels) are sums over the cells.
+
+The changes are found by a classifier two-sample test. For every load a logistic
+regression is trained on its cells to tell the load from the reference: the cells
+of all loads together, every row counted, with the null rates and mean levels of
+``field_baseline`` where it has them. The loads are trained in parallel on the
+executors. Five folds are cross-fitted: each fifth of the load's rows is scored by
+a model that has not seen it. ``discrimination`` is the mean score of the load's
+rows less that of the reference (0: alike); ``ablation`` is what of it is lost when
+one column's terms are held at their reference mean. The columns whose ablation
+loses something are the changed ones; the exact rules of ``changes`` then verify
+these columns and look at no others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +37,17 @@ FIELDS = ("event_id", "symbol", "price", "volume", "ts_event", "ts_ingest", "sou
 COLUMNS = ("delivery_id", *FIELDS, "batch_id", "loaded_at")
 COLUMN_TEXTS = (*TEXT_FIELDS, "batch_id")
 COLUMN_TIMES = (*TIME_FIELDS, "loaded_at")
-REFERENCE_ROWS = 2_000
-FOLDS = 2
-#: A column is taken to tell a load apart if ablating it loses this much of the discrimination.
-NOMINATE_AT = 0.002
-#: A cell's level is the logarithm in tenths of a decade, within these limits.
-LEVEL_RANGE = (-30, 120)
+FOLDS = 5
+#: A column tells a load apart if ablating its null term loses more than this many times its usual null rate,
+NOMINATE_SHARE = 1.0
+#: or ablating its level term loses more than this (both in log odds).
+NOMINATE_LEVEL = 0.05
+#: Ridge of indicator terms; of level terms per row of the load, so that a shifted level does not drown the others.
+RIDGE, LEVEL_RIDGE = 0.1, 0.05
+#: With fewer rows, or fewer values of a level, the test has no power: its figures are null, the column is untested.
+LEAST_ROWS = 100
+#: A cell's level is the logarithm in decades, within these limits.
+LEVEL_RANGE = (-3, 12)
 
 
 def invalid(field: str) -> Column:
@@ -123,121 +134,238 @@ def _state(field: str) -> Column:
     return F.when(c.isNull(), 1).when(bad, 2).otherwise(0).cast("int")
 
 
-def cells(rows: DataFrame, load: str = "batch_id", key: str = "delivery_id") -> DataFrame:
-    """(load, fold, states, levels, weight): the compressed rows of each load."""
+def cells(rows: DataFrame, load: str = "batch_id") -> DataFrame:
+    """(load, states, decades, weight, level sums): the compressed rows of each load."""
     lo, hi = LEVEL_RANGE
-    tenths = [F.round(F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), level(f) * 10))).cast("int").alias(f"tenths_{f}") for f in LEVEL_FIELDS]
-    states = [_state(f).alias(f"state_{f}") for f in FIELDS]
-    # the fold comes of the row's own id; a row without one goes to fold 0
-    coded = rows.select(F.col(load).alias("load"), F.coalesce(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(FOLDS)), F.lit(0)).cast("int").alias("fold"), *states, *tenths)
-    return coded.groupBy(*coded.columns).agg(F.count("*").alias("weight"))
+    decades = [F.when(level(f).isNotNull(), F.floor(F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), level(f))))).cast("int").alias(f"decade_{f}") for f in LEVEL_FIELDS]
+    coded = rows.select(F.col(load).alias("load"), *(_state(f).alias(f"state_{f}") for f in FIELDS), *decades, *(level(f).alias(f"level_{f}") for f in LEVEL_FIELDS))
+    sums = [F.sum(f"level_{f}").alias(f"sum_{f}") for f in LEVEL_FIELDS]
+    return coded.groupBy("load", *(f"state_{f}" for f in FIELDS), *(f"decade_{f}" for f in LEVEL_FIELDS)).agg(F.count("*").alias("weight"), *sums)
+
+
+def cell_profile(parts: DataFrame) -> DataFrame:
+    """Exact figures from the cells, one row per load and field: load, field, rows, nulls, blanks, invalid, level_mean."""
+    counted = lambda test: F.sum(F.when(test, F.col("weight")).otherwise(0))
+    aggs, entries = [F.sum("weight").alias("rows")], []
+    for f in FIELDS:
+        aggs += [counted(F.col(f"state_{f}") == 1).alias(f"nulls_{f}"), counted(F.col(f"state_{f}") == 2).alias(f"bad_{f}")]
+        if f in LEVEL_FIELDS:
+            aggs.append((F.sum(f"sum_{f}") / counted(F.col(f"decade_{f}").isNotNull())).alias(f"level_{f}"))
+            aggs.append(counted(F.col(f"decade_{f}").isNotNull()).alias(f"levels_{f}"))
+        bad, none = F.col(f"bad_{f}"), F.lit(0).cast("bigint")
+        entries.append(
+            F.struct(
+                F.lit(f).alias("field"),
+                F.col(f"nulls_{f}").alias("nulls"),
+                (bad if f in TEXT_FIELDS else none).alias("blanks"),
+                (bad if f in LEVEL_FIELDS else none).alias("invalid"),
+                (F.col(f"level_{f}") if f in LEVEL_FIELDS else F.lit(None).cast("double")).alias("level_mean"),
+                (F.col(f"levels_{f}") if f in LEVEL_FIELDS else F.col("rows")).alias("tested"),
+            )
+        )
+    wide = parts.groupBy("load").agg(*aggs)
+    return wide.select("load", "rows", F.explode(F.array(*entries)).alias("p")).select("load", "rows", "p.*")
 
 
 #: Feature columns: per field a null and a defect indicator (times have no defects), per level field its level.
 FEATURES = [f"{f}:null" for f in FIELDS] + [f"{f}:bad" for f in TEXT_FIELDS + LEVEL_FIELDS] + [f"{f}:level" for f in LEVEL_FIELDS]
+OWNERS = [None, *(name.split(":")[0] for name in FEATURES)]
+
+
+def _features(columns: dict[str, np.ndarray], centre: dict[str, float], shift: dict[str, float] | None = None) -> np.ndarray:
+    """One row per cell: 1 and the features; a cell's level is the mean of its levels, 0 (the centre) where it has none."""
+    cols = [(columns[f"state_{f}"] == 1).astype(float) for f in FIELDS]
+    cols += [(columns[f"state_{f}"] == 2).astype(float) for f in TEXT_FIELDS + LEVEL_FIELDS]
+    for f in LEVEL_FIELDS:
+        cols.append(np.nan_to_num(_levels(columns, f) + (shift or {}).get(f, 0.0) - centre[f]))
+    return np.column_stack([np.ones(len(cols[0])), *cols])
+
+
+def _levels(columns: dict[str, np.ndarray], field: str) -> np.ndarray:
+    return np.clip(columns[f"sum_{field}"] / columns["weight"], *LEVEL_RANGE)
+
 
+def _columns(batch: pa.RecordBatch | pa.Table) -> dict[str, np.ndarray]:
+    """The numeric columns of cells as doubles, null as NaN."""
+    return {name: batch.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(name).cast(pa.float64()).to_numpy() for name in batch.schema.names if name != "load"}
 
-def _features(pdf: pd.DataFrame, centre: dict[str, float]) -> np.ndarray:
-    cols = [(pdf[f"state_{f}"].to_numpy() == 1).astype(float) for f in FIELDS]
-    cols += [(pdf[f"state_{f}"].to_numpy() == 2).astype(float) for f in TEXT_FIELDS + LEVEL_FIELDS]
+
+def _reference(pooled: pa.Table, usual: dict[str, tuple[float | None, float | None]]) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
+    """(features, weights, centres) of the reference: the pooled cells, with the usual null rates and mean levels; the weights add to 1."""
+    columns = _columns(pooled)
+    w = columns["weight"]
+    centre, shift = {}, {}
     for f in LEVEL_FIELDS:
-        t = pdf[f"tenths_{f}"].to_numpy(dtype=float, na_value=np.nan) / 10 - centre[f]
-        cols.append(np.where(np.isnan(t), 0.0, t))
-    return np.column_stack([np.ones(len(pdf)), *cols])
-
-
-def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, steps: int = 5) -> np.ndarray:
-    """Weighted ridge logistic regression by Newton steps; both classes weigh the same."""
-    beta = np.zeros(x.shape[1])
-    shrink = np.full(x.shape[1], ridge)
-    shrink[0] = 1e-6
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (w * (y - p)) - shrink * beta
-        hess = (x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
-        hess[np.diag_indices_from(hess)] += shrink
-        step = np.linalg.solve(hess, grad)
-        beta += step
-        if np.abs(step).max() < 1e-4:
-            break
-    return beta
-
-
-def _tell_apart(x1: np.ndarray, w1: np.ndarray, f1: np.ndarray, x0: np.ndarray, w0: np.ndarray, f0: np.ndarray) -> tuple[float, dict[str, float]]:
-    """Cross-fitted discrimination and each field's ablation loss."""
-    owner = [None, *(name.split(":")[0] for name in FEATURES)]
-    total, lost, n = 0.0, dict.fromkeys(FIELDS, 0.0), 0
+        t = _levels(columns, f)
+        known = ~np.isnan(t)
+        mean = float(np.average(t[known], weights=w[known])) if known.any() else 0.0
+        wanted = usual.get(f, (None, None))[1]
+        centre[f] = mean if wanted is None else wanted
+        shift[f] = centre[f] - mean
+    w = w / w.sum() if len(w) else w
+    for f in FIELDS:
+        rate = usual.get(f, (None, None))[0]
+        null = columns[f"state_{f}"] == 1
+        share = w[null].sum()
+        if rate is not None and 0 < share < 1:
+            w = np.where(null, w * (rate / share), w * ((1 - rate) / (1 - share)))
+    return _features(columns, centre, shift), w, centre
+
+
+def _score(logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+class _Trainer:
+    """Ridge logistic regressions of many loads against one reference, all by the same Newton steps."""
+
+    def __init__(self, x: np.ndarray, w: np.ndarray, starts: np.ndarray, x0: np.ndarray, w0: np.ndarray):
+        self.x, self.w, self.starts, self.x0, self.w0 = x, w, starts, x0, w0
+        self.owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(x)]))
+        self.outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+        self.outer0 = (x0[:, :, None] * x0[:, None, :]).reshape(len(x0), -1)
+
+    def per_load(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.starts, axis=0)
+
+    def fit(self, w: np.ndarray, beta: np.ndarray, steps: int) -> np.ndarray:
+        """``beta`` of each load after so many steps; ``w``: the training weights of the cells. Both classes weigh the same."""
+        n = self.per_load(w)
+        ridge = np.full((len(n), beta.shape[1]), RIDGE)
+        ridge[:, 0] = 1e-6
+        ridge[:, -len(LEVEL_FIELDS) :] = np.maximum(RIDGE, LEVEL_RIDGE * n)[:, None]
+        at = np.arange(beta.shape[1])
+        for _ in range(steps):
+            p, p0 = _score((self.x * beta[self.owner]).sum(1)), _score(self.x0 @ beta.T)
+            w0 = self.w0[:, None] * n
+            grad = self.per_load((w * (1 - p))[:, None] * self.x) - (w0 * p0).T @ self.x0 - ridge * beta
+            hess = self.per_load((w * p * (1 - p))[:, None] * self.outer) + (w0 * p0 * (1 - p0)).T @ self.outer0
+            hess = hess.reshape(len(n), len(at), -1)
+            hess[:, at, at] += ridge + 1e-9
+            beta = beta + np.clip(np.linalg.solve(hess, grad[:, :, None])[:, :, 0], -4, 4)
+        return beta
+
+
+def _fold_weights(w: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(cells, FOLDS): how many rows of each cell every fold gets.
+
+    The rows of a load are ranked by cell and dealt out in turn. Rows of a cell are
+    equal in all features, so it does not matter which of them a fold gets, and
+    every state is spread over the folds as evenly as can be.
+    """
+    whole = w.astype(np.int64)
+    end = np.cumsum(whole)
+    end = (end - np.repeat(end[starts] - whole[starts], np.diff(np.r_[starts, len(w)])))[:, None]
+    start = end - whole[:, None]
+    fold = np.arange(FOLDS)[None, :]
+    upto = lambda n: (n - fold + FOLDS - 1) // FOLDS  # noqa: E731  ranks below n that are in the fold
+    return (upto(end) - upto(start)).astype(float)
+
+
+def _tell_apart(x: np.ndarray, w: np.ndarray, starts: np.ndarray, x0: np.ndarray, w0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per load: cross-fitted discrimination, and per feature what ablating it loses and its mean coefficient."""
+    trainer = _Trainer(x, w, starts, x0, w0)
+    n = trainer.per_load(w)
+    first = trainer.fit(w, np.zeros((len(n), x.shape[1])), 5)
+    held = _fold_weights(w, starts)
+    total, lost, slope = np.zeros(len(n)), np.zeros((len(n), x.shape[1])), np.zeros((len(n), x.shape[1]))
+    mean0 = w0 @ x0
     for fold in range(FOLDS):
-        a1, a0, b1, b0 = f1 != fold, f0 != fold, f1 == fold, f0 == fold
-        if not (a1.any() and a0.any() and b1.any() and b0.any()):
-            continue
-        n += 1
-        t1, t0 = w1[a1].sum(), w0[a0].sum()
-        x, y = np.vstack([x1[a1], x0[a0]]), np.r_[np.ones(a1.sum()), np.zeros(a0.sum())]
-        w = np.r_[w1[a1], w0[a0] * (t1 / t0)]
-        beta = _fit(x, y, w)
-        s1, s0 = x1[b1] @ beta, x0[b0] @ beta
-
-        def gap(u1: np.ndarray, u0: np.ndarray) -> float:
-            p1, p0 = (1 / (1 + np.exp(-np.clip(u, -30, 30))) for u in (u1, u0))
-            return float(np.average(p1, weights=w1[b1]) - np.average(p0, weights=w0[b0]))
-
-        whole = gap(s1, s0)
-        total += whole
-        for field in FIELDS:
-            own = [i for i, o in enumerate(owner) if o == field]
-            mean = float(np.average(x0[b0][:, own] @ beta[own], weights=w0[b0]))
-            lost[field] += whole - gap(s1 - x1[b1][:, own] @ beta[own] + mean, s0 - x0[b0][:, own] @ beta[own] + mean)
-    if not n:
-        return float("nan"), dict.fromkeys(FIELDS, float("nan"))
-    return total / n, {f: v / n for f, v in lost.items()}
-
-
-def load_discrimination(rows: DataFrame, load: str = "batch_id", key: str = "delivery_id") -> DataFrame:
-    """(load, field, discrimination, ablation): the classifier test of each load against the reference.
-
-    Loads whose rows fall into one fold only have null figures.
+        out = held[:, fold]
+        beta = trainer.fit(w - out, first, 2)
+        share = trainer.per_load(out) / n
+        # sums over the held rows are divided by all rows, so a fold counts by its size
+        total += trainer.per_load(out * _score((x * beta[trainer.owner]).sum(1))) / n - share * (w0 @ _score(x0 @ beta.T))
+        lost += beta * (trainer.per_load(out[:, None] * x) / n[:, None] - share[:, None] * mean0)
+        slope += share[:, None] * beta
+    return total, lost, slope
+
+
+RESULT = "load string, field string, discrimination double, null_ablation double, level_ablation double"
+
+
+def _test_loads(batches: Iterator[pa.RecordBatch], reference: tuple[np.ndarray, np.ndarray, dict[str, float]]) -> Iterator[pa.RecordBatch]:
+    """The test of every load of a partition of cells sorted by load; whole loads are taken together as the batches come."""
+    x0, w0, centre = reference
+    names = [None, *FEATURES]
+
+    def tested(cells_: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        columns = _columns(cells_)
+        enough = np.add.reduceat(columns["weight"], starts) >= LEAST_ROWS
+        d, lost, slope = _tell_apart(_features(columns, centre), columns["weight"], starts, x0, w0)
+        d[~enough] = np.nan
+        nulls, levels = [], []
+        for f in FIELDS:
+            at = names.index(f"{f}:null")
+            nulls.append(np.where(enough, lost[:, at] * np.sign(slope[:, at]), np.nan))
+            levels.append(np.where(enough, lost[:, names.index(f"{f}:level")] if f in LEVEL_FIELDS else 0.0, np.nan))
+        loads = cells_.column("load").combine_chunks().take(pa.array(np.repeat(starts, len(FIELDS))))
+        fields = pa.array(list(FIELDS) * len(starts))
+        figures = [np.repeat(d, len(FIELDS)), np.column_stack(nulls).ravel(), np.column_stack(levels).ravel()]
+        return pa.RecordBatch.from_arrays([loads, fields, *(pa.array(v, from_pandas=True) for v in figures)], [c.split()[0] for c in RESULT.split(", ")])
+
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+        codes = table.column("load").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        starts = np.r_[0, np.flatnonzero(np.diff(codes)) + 1] if len(codes) else np.array([], int)
+        if len(starts) > 1:  # the last load may go on in the next batch
+            yield tested(table.slice(0, starts[-1]), starts[:-1])
+        rest = table.slice(starts[-1]) if len(starts) else rest
+    if rest is not None and rest.num_rows:
+        yield tested(rest, np.array([0]))
+
+
+def load_discrimination(parts: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """(load, field, discrimination, null_ablation, level_ablation): the test of each load's cells against the reference.
+
+    The ablations are log odds lost by holding the field's null or level term at its
+    reference mean; null_ablation is below 0 where nulls are rarer than usual.
+    Loads with fewer than LEAST_ROWS rows have null figures. The reference has one
+    row per cell of the pooled table, a number bounded by states and decades; it
+    is collected and sent to the executors.
     """
-    spark = rows.sparkSession
-    lead = rows.withColumn("_h", F.xxhash64(F.lit(41), F.col(key))).orderBy("_h", F.col(key)).limit(REFERENCE_ROWS)  # bounded: a top-k by hash
-    reference = cells(lead.withColumn(load, F.lit("reference")), load, key).toPandas()
-    centre = {f: float(np.nanmean(reference[f"tenths_{f}"].to_numpy(dtype=float, na_value=np.nan)) / 10) if len(reference) and reference[f"tenths_{f}"].notna().any() else 0.0 for f in LEVEL_FIELDS}
-    shared = spark.sparkContext.broadcast((_features(reference, centre) if len(reference) else np.zeros((0, 1 + len(FEATURES))), reference["weight"].to_numpy(dtype=float), reference["fold"].to_numpy(), centre))
+    spark = parts.sparkSession
+    grain = [c for c in parts.columns if c.startswith(("state_", "decade_"))]
+    pooled = parts.groupBy(*grain).agg(F.sum("weight").alias("weight"), *(F.sum(f"sum_{f}").alias(f"sum_{f}") for f in LEVEL_FIELDS)).orderBy(*grain).toArrow()
+    usual = {r.field: (r.usual_null_rate, r.usual_log10_mean) for r in _usual(baseline).where(F.col("field").isin(*FIELDS)).collect()} if baseline is not None else {}  # a row per field
+    shared = spark.sparkContext.broadcast(_reference(pooled, usual))
+    lined = parts.repartition("load").sortWithinPartitions("load", *grain)
+    return lined.mapInArrow(lambda batches: _test_loads(batches, shared.value), RESULT)
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        x0, w0, f0, mid = shared.value
-        d, lost = _tell_apart(_features(pdf, mid), pdf["weight"].to_numpy(dtype=float), pdf["fold"].to_numpy(), x0, w0, f0)
-        return pd.DataFrame({"load": pdf["load"].iloc[0], "field": list(FIELDS), "discrimination": d, "ablation": [lost[f] for f in FIELDS]})
 
-    out = cells(rows, load, key).groupBy("load").applyInPandas(test, "load string, field string, discrimination double, ablation double")
-    return out.withColumns({c: F.when(is_number(F.col(c)), F.col(c)) for c in ("discrimination", "ablation")})
+def _usual(baseline: DataFrame) -> DataFrame:
+    return baseline.groupBy("field").agg(F.min("usual_null_rate").alias("usual_null_rate"), F.min("usual_log10_mean").alias("usual_log10_mean"))
 
 
-def profile_loads(rows: DataFrame, baseline: DataFrame, load: str = "batch_id", key: str = "delivery_id") -> DataFrame:
-    """One row per load and field: exact figures, the baseline, the test's figures and nominations.
+def profile_loads(rows: DataFrame, baseline: DataFrame, load: str = "batch_id") -> DataFrame:
+    """One row per load and field: exact figures, the baseline, the test's figures and its verdict.
 
-    ``by_classifier``: ablating the field loses at least NOMINATE_AT of the load's
-    discrimination. ``by_figures``: the exact null share or mean level lies off the
-    baseline. A change is identified by either; the rules of ``changes`` decide.
+    ``by_classifier``: ablating the field's null term loses more than NOMINATE_SHARE times
+    its usual null rate, or ablating its level term more than NOMINATE_LEVEL.
+    ``untested``: the load has too few rows, or values of the
+    level, for the test. ``by_figures``: the exact null share or mean level lies off
+    the baseline; it is reported and decides nothing.
     """
-    figures = base_profile(rows, load)
-    tests = load_discrimination(rows, load, key)
+    parts = stage(cells(rows, load), "load-cells")
+    figures, tests = cell_profile(parts), load_discrimination(parts, baseline)
     joined = figures.join(tests, (figures["load"].eqNullSafe(tests["load"])) & (figures["field"] == tests["field"]), "left").drop(tests["load"]).drop(tests["field"])
-    usual = baseline.groupBy("field").agg(F.min("usual_null_rate").alias("usual_null_rate"), F.min("usual_log10_mean").alias("usual_log10_mean"))
-    out = joined.join(bounded_broadcast(usual), "field", "left").withColumn("null_rate", F.col("nulls") / F.col("rows"))
+    out = joined.join(bounded_broadcast(_usual(baseline)), "field", "left").withColumn("null_rate", F.col("nulls") / F.col("rows"))
     off = (F.col("null_rate") > F.col("usual_null_rate")) | (F.col("level_mean") != F.col("usual_log10_mean"))
-    return out.withColumn("by_classifier", F.coalesce(F.col("ablation") >= NOMINATE_AT, F.lit(False))).withColumn("by_figures", F.coalesce(off, F.lit(False)))
+    loses = (F.col("null_ablation") > NOMINATE_SHARE * F.coalesce("usual_null_rate", F.lit(0.0))) | (F.col("level_ablation") > NOMINATE_LEVEL)
+    out = out.withColumn("untested", F.col("null_ablation").isNull() | (F.col("tested") < LEAST_ROWS)).drop("tested")
+    return out.withColumn("by_classifier", F.coalesce(loses, F.lit(False))).withColumn("by_figures", F.coalesce(off, F.lit(False)))
 
 
 def changes(profile: DataFrame) -> DataFrame:
-    """(load, field, finding): nominated changes that the exact rules confirm.
+    """(load, field, finding): the columns the classifier tells apart, or could not test, that the exact rules verify.
 
     null_rate_shift: at least 5 nulls and a null share above 3 times the usual one.
     level_shift: the mean log10 differs from the usual one by more than 0.3.
     """
     nulls = F.when((F.col("nulls") >= 5) & (F.col("null_rate") > 3 * F.col("usual_null_rate")), F.lit("null_rate_shift"))
     levels = F.when(F.abs(F.col("level_mean") - F.col("usual_log10_mean")) > 0.3, F.lit("level_shift"))
-    named = profile.where(F.col("by_classifier") | F.col("by_figures"))
+    named = profile.where(F.col("by_classifier") | F.col("untested"))
     return named.select("load", "field", F.explode(F.array_compact(F.array(nulls, levels))).alias("finding"))
 
 

@@ -4,7 +4,8 @@ A Bloom filter over the parents' keys is sent to the references (only if its
 size is within the bound of ``functions.bloom``; else it is joined by segment).
 A reference the filter never saw is a definite orphan and skips the parent
 table; only filter-positive references are joined exactly. Parents and deletions
-are reduced to one row per key before any join, references to distinct cases.
+are reduced to one row per key before any join. References are screened where
+they are read, before any shuffle of theirs.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import bloom
 from tidegrid.functions.text import id_key, json_object
-from tidegrid.session import bounded_broadcast, stage
+from tidegrid.session import bounded_broadcast, stage, stage_counted
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,7 @@ def _cases(refs: Sequence[Reference]) -> DataFrame:
         )
         rows = rows.withColumn("missing_id", id_key(F.col("raw"))).where("missing_id is not null").drop("raw")
         parts = rows if parts is None else parts.unionByName(rows)
-    return parts.distinct()
+    return parts
 
 
 def _parents(refs: Sequence[Reference]) -> DataFrame:
@@ -79,9 +80,9 @@ def orphan_references(refs: Sequence[Reference], deletions: DataFrame) -> DataFr
     record precedes and follows nothing; a parent row without ts_ingest is never
     late. Null and blank references are none; empty tables give no rows.
     """
-    parents = stage(_parents(refs), "parents")
-    words = bloom.words_for(parents.count())
-    keys = bloom.build(parents, words, "target", "id")
+    parents, rows = stage_counted(_parents(refs), "parents")
+    words = bloom.words_for(rows)
+    keys = stage(bloom.build(parents, words, "target", "id"), "parent-filter")
     gone = deletions.select(F.lower(F.btrim("table_name")).alias("target"), id_key(F.col("calculation_id")).alias("missing_id"), "deleted_at")
     gone = gone.groupBy("target", "missing_id").agg(F.min("deleted_at").alias("deleted_at"))
     screened = bloom.probe(_cases(refs), keys, words, F.col("target"), F.col("missing_id"))

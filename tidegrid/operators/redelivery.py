@@ -1,25 +1,25 @@
 """Messages delivered more than once: keep exactly one copy of each identifier.
 
 Deliveries are reduced within their time bucket (of ts_ingest) to one
-representative per identifier; the representatives are the bucketed storage,
-sorted by bucket. One Bloom filter per time bucket is built over them, all of
-one geometry, so that their words can be compared: bits set by two buckets make
-up a summary filter. An identifier whose bits are not all in the summary is
-definitely in one bucket only. Only the possible repeats look at the single
-buckets' filters, and only the matching (bucket, identifier) pairs are read
-from the storage and compared exactly. Filters have no false negatives, so
-nothing is lost; false positives end in the exact comparison.
+representative per identifier; the representatives are the storage of the
+buckets. Every bucket has a Bloom filter, all of one geometry, so that their
+words can be compared: bits set by two buckets make up a summary filter. An
+identifier whose bits are not all in the summary is definitely in one bucket
+only. As equal identifiers set equal bits, all copies of a repeated one are
+possible repeats; these alone are read again from their buckets' storage and
+compared exactly. Filters have no false negatives, so nothing is lost; false
+positives end in the exact comparison.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions import bloom
 from tidegrid.functions.text import id_key
 from tidegrid.functions.times import DAY, floor_div
-from tidegrid.session import bounded_broadcast, stage
+from tidegrid.session import bounded_broadcast, stage, stage_counted
 
 BUCKET_DAYS = 7
 #: Time bucket of deliveries without ts_ingest (they sort last).
@@ -32,35 +32,41 @@ def _keyed(deliveries: DataFrame, bucket_days: int) -> DataFrame:
     return rows.where(F.col("event_id").isNotNull())
 
 
-def _either_or(words: DataFrame) -> DataFrame:
-    """(word, bits set by at least two time buckets) of (bucket, word, bits)."""
+def _twice(bits: Column) -> Column:
+    """The bits that at least two of the collected words set."""
     zero = F.lit(0).cast("bigint")
-    pair = F.aggregate(
-        F.collect_list("bits"),
+    return F.aggregate(
+        bits,
         F.struct(zero.alias("once"), zero.alias("twice")),
         lambda s, x: F.struct(s["once"].bitwiseOR(x).alias("once"), s["twice"].bitwiseOR(s["once"].bitwiseAND(x)).alias("twice")),
+        lambda s: s["twice"],
     )
-    return words.groupBy("word").agg(pair.alias("p")).select("word", F.col("p.twice").alias("bits"))
+
+
+def _summary(storage: DataFrame, words: int) -> DataFrame:
+    """The summary filter of the storage: (segment, words array) of the bits that two buckets set.
+
+    The buckets' filters, rows of (bucket, word, bits), are made, compared and
+    packed behind one shuffle by segment.
+    """
+    key = F.col("event_id")
+    word = bloom.word_of(words, key)
+    set_bits = storage.select("bucket", F.floor(word / bloom.SEGMENT).alias("segment"), word.alias("word"), bloom.mask_of(key).alias("mask")).repartition("segment")
+    filters = set_bits.groupBy("segment", "bucket", "word").agg(F.bit_or("mask").alias("bits"))
+    both = filters.groupBy("segment", "word").agg(_twice(F.collect_list("bits")).alias("bits")).where("bits <> 0")
+    return bloom.pack(both)
 
 
 def repeated_ids(deliveries: DataFrame, bucket_days: int = BUCKET_DAYS) -> DataFrame:
     """(event_id, keep): every identifier with copies, and its first delivery (us, delivery_id)."""
     first = F.min(F.struct("us", "delivery_id")).alias("first")
-    storage = stage(_keyed(deliveries, bucket_days).groupBy("bucket", "event_id").agg(first, F.count("*").alias("copies")), "deliveries")
-    words = bloom.words_for(storage.count())
-    key = F.col("event_id")
-    per_bucket = storage.select("bucket", bloom.word_of(words, key).alias("word"), bloom.mask_of(key).alias("mask")).groupBy("bucket", "word").agg(F.bit_or("mask").alias("bits"))
-    per_bucket = stage(per_bucket, "bucket-filters")
-    summary = bloom.pack(_either_or(per_bucket), words)
-    possible = bloom.probe(storage.select("bucket", "event_id", "first"), summary, words, key).where("maybe").drop("maybe")
-    possible = stage(possible.withColumn("word", bloom.word_of(words, key)).withColumn("mask", bloom.mask_of(key)), "possible-repeats")
-    other = per_bucket.select(F.col("bucket").alias("other"), "word", "bits")
-    pairs = other.join(bounded_broadcast(possible), "word").where((F.col("other") != F.col("bucket")) & (F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")))
-    pairs = pairs.select("event_id", "first", "other")
-    stored = storage.select(F.col("bucket").alias("other"), "event_id")
-    verified = stored.join(pairs, ["other", "event_id"]).select("event_id", "first")
-    copies = verified.unionByName(storage.where("copies > 1").select("event_id", "first"))
-    return copies.groupBy("event_id").agg(F.min("first").alias("keep"))
+    storage, rows = stage_counted(_keyed(deliveries, bucket_days).groupBy("bucket", "event_id").agg(first, F.count("*").alias("copies")), "deliveries")
+    words = bloom.words_for(rows)
+    summary = stage(_summary(storage, words), "bucket-filters")
+    screened = bloom.probe(storage.select("event_id", "first", "copies"), summary, words, F.col("event_id"))
+    possible = screened.where(F.col("maybe") | (F.col("copies") > 1))
+    verified = possible.groupBy("event_id").agg(F.min("first").alias("keep"), F.sum("copies").alias("copies"))
+    return verified.where("copies > 1").select("event_id", "keep")
 
 
 def surplus(deliveries: DataFrame, bucket_days: int = BUCKET_DAYS) -> DataFrame:

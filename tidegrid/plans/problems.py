@@ -62,7 +62,7 @@ def p3_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_drift(spark: SparkSession, folder: str) -> DataFrame:
     profile = drift.profile_loads(table(spark, folder, "market_events_raw"), table(spark, folder, "field_baseline"))
-    return profile.select("load", "field", "rows", "null_rate", "level_mean", "discrimination", "ablation", "by_classifier", "by_figures")
+    return profile.select("load", "field", "rows", "null_rate", "level_mean", "discrimination", "null_ablation", "level_ablation", "by_classifier", "untested", "by_figures")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

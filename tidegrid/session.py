@@ -12,11 +12,12 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it was counted and holds no more rows than this.
+#: A side is broadcast only if it was measured and holds no more rows and, written as text, no more bytes than this.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 _staged: list[str] = []
 
 
@@ -55,7 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result survives the loss of executors, has row counts in its footers
@@ -64,11 +65,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``stage``, and the number of rows written, counted on the way: no second scan.
+
+    Tasks that had to run again may count twice, so take the number as a size.
+    """
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return staged, seen.get["rows"]
+
+
 def release(spark: SparkSession) -> int:
     """Remove the staged tables of this process, once no frame made of them is needed; returns their number."""
     n = len(_staged)
@@ -78,9 +89,10 @@ def release(spark: SparkSession) -> int:
     return n
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; it is read up to rows + 1."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes as JSON text; it is read up to rows + 1."""
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return seen["n"] <= rows and (seen["bytes"] or 0) <= size
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
