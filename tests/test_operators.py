@@ -252,3 +252,22 @@ def test_floor_div_is_exact(spark):
     rows = [-1, -7, 0, 6, 7, big, -big, -(1 << 62)]
     got = spark.createDataFrame([(x,) for x in rows], "x bigint").select("x", floor_div(F.col("x"), 7).alias("q")).collect()
     assert all(r.q == r.x // 7 for r in got)
+
+
+def test_daily_events_are_validated(spark, at):
+    from tidegrid.operators.quality import QualityError
+
+    schema = "event_id string, source string, symbol string, price double, volume bigint, ts_event timestamp"
+    good = [("a", "s", "X", 1.0, 1, at("2024-01-01T00:00:00")), ("b", "s", "X", 2.0, 1, at("2024-01-02T00:00:00"))]
+    assert daily.validated(spark.createDataFrame(good, schema)).count() == 2
+    bad = [("a", "s", "X", float("nan"), -1, at("2024-01-02T00:00:01")), (" ", "s", "Y", 1.0, 1, at("2024-01-03T00:00:00"))]
+    found = {r.problem: r.rows for r in daily.event_problems(spark.createDataFrame(good + bad, schema)).collect()}
+    assert found == {"not_midnight": 1, "blank_identity": 1, "price_not_positive": 1, "volume_negative": 1, "repeated_event_id": 1, "more_than_one_close": 1}
+    for rows in (good + bad, good[:1]):
+        with pytest.raises(QualityError):
+            daily.validated(spark.createDataFrame(rows, schema))
+
+
+def test_one_row_per_key_is_defined(spark):
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "z"), ("a", 1, "y"), ("b", None, "q")], "k string, ts_ingest int, v string")
+    assert sorted((r.k, r.v) for r in versions.one_per(rows, ["k"]).collect()) == [("a", "y"), ("b", "q")]

@@ -248,10 +248,28 @@ def test_late_events(spark, at):
 
 
 def test_sliding_windows_share_panes(spark, at):
-    parts = lateness.panes(lateness.usable(delivery(spark, late_rows(at))))
-    wide = lateness.compose(parts, window_seconds=3 * lateness.HOUR).collect()
+    """Against brute force: every event is judged against the end of each window that covers it."""
+    hour, rows = lateness.HOUR, late_rows(at)
+    parts = lateness.panes(lateness.usable(delivery(spark, rows)), window_seconds=3 * hour)
+    wide = lateness.compose(parts, window_seconds=3 * hour).collect()
+    want: dict[int, list[int]] = {}
+    for r in lateness.usable(delivery(spark, rows)).collect():
+        for k in range(3):
+            start = (r.event_us // 10**6 // hour - k) * hour
+            after = r.ingest_us - (start + 3 * hour) * 10**6
+            kind = 0 if after <= lateness.PUBLISH_AFTER * 10**6 else 1 if after <= lateness.CUT_OFF * 10**6 else 2
+            want.setdefault(start, [0, 0, 0])[kind] += 1
+    assert {r.window_start: [r.events_published, r.corrections, r.rejected] for r in wide} == want
+    assert all(r.events_final == r.events_published + r.corrections for r in wide)
+
+
+def test_an_event_late_for_its_pane_is_in_time_for_a_window_that_ends_later(spark, at):
+    rows = [(1, "a", "A", 10.0, 1, at("2024-01-01T00:10:00"), at("2024-01-01T01:30:00")), (2, "b", "A", 12.0, 1, at("2024-01-01T00:20:00"), at("2024-01-02T02:00:00"))]
+    parts = lateness.panes(lateness.usable(delivery(spark, rows)), window_seconds=3 * lateness.HOUR)
+    got = {r.window_start: (r.events_published, r.corrections, r.rejected) for r in lateness.compose(parts, window_seconds=3 * lateness.HOUR).collect()}
     t0 = int(at("2024-01-01T00:00:00").timestamp())
-    assert {r.window_start: r.events_final for r in wide} == {t0 - 7200: 3, t0 - 3600: 3, t0: 4, t0 + 3600: 1, t0 + 7200: 1}
+    # published 300 s after the end of the window, cut off a day after it
+    assert got == {t0 - 7200: (0, 1, 1), t0 - 3600: (1, 1, 0), t0: (1, 1, 0)}
 
 
 def test_extreme_figures(spark, at):

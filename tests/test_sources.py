@@ -96,19 +96,55 @@ def test_scan_benchmark_formats_agree(spark, tmp_path):
     assert first == again
 
 
-def test_streams(spark, tmp_path, folder):
-    """Fed in several batches, the stream ends where the batch operator does."""
+@pytest.mark.parametrize("hours", [1, 3])
+def test_streamed_panes(spark, tmp_path, folder, hours):
+    """Fed in several batches, the stream ends where the batch operator does, also for windows of several panes."""
     raw = spark.read.parquet(f"{folder}/market_events_raw.parquet").limit(600)
-    source = tmp_path / "in"
+    source, window = tmp_path / "in", hours * lateness.HOUR
     for k in range(3):
         raw.where(F.col("delivery_id") % 3 == k).coalesce(1).write.mode("append").parquet(str(source))
     stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    panes.run_panes(stream, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(120)
+    panes.run_panes(stream, str(tmp_path / "store"), str(tmp_path / "cp"), window_seconds=window).awaitTermination(120)
     cols = ["symbol", "window_start", "events_published", "events_final", "corrections", "rejected"]
-    want = lateness.compose(lateness.panes(lateness.usable(raw))).select(cols)
+    want = lateness.compose(lateness.panes(lateness.usable(raw), window_seconds=window), window_seconds=window).select(cols)
     got = panes.current_windows(spark, str(tmp_path / "store")).select(cols)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    panes.compact(spark, str(tmp_path / "store"), str(tmp_path / "small"))
+    assert panes.current_panes(spark, str(tmp_path / "small")).exceptAll(panes.current_panes(spark, str(tmp_path / "store"))).count() == 0
+
+
+def test_streams(spark, tmp_path, folder):
+    """The stream's copies of an event are stored once."""
+    raw = spark.read.parquet(f"{folder}/market_events_raw.parquet").limit(600)
+    source = tmp_path / "in"
+    for k in range(3):
+        raw.where(F.col("delivery_id") % 3 == k).coalesce(1).write.mode("append").parquet(str(source))
     events = spark.readStream.schema(landed.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(source)).where("event_id is not null and ts_ingest is not null").withColumn("event_id", F.concat("event_id", F.lit("-"), F.col("ts_ingest").cast("string"), F.lit("-"), F.xxhash64("symbol", "price", "volume", "ts_event", "source").cast("string")))
     replay.ingest(events, str(tmp_path / "raw"), landed.EVENT_SCHEMA, str(tmp_path / "cp2")).awaitTermination(120)
     stored = stores.read_store(spark, str(tmp_path / "raw"), landed.EVENT_SCHEMA)
     assert stored.count() == stored.select("event_id").distinct().count() > 500
+
+
+def test_caps_raise_and_small_files_are_replaced(spark, tmp_path):
+    rows = spark.range(5)
+    assert stores.capped(rows, 5).count() == 5
+    with pytest.raises(stores.CapExceeded):
+        stores.capped(rows, 4)
+    path = str(tmp_path / "note.json")
+    assert stores.read_text(spark, path) is None
+    for text in ("one", "two\nlines"):
+        stores.write_text(spark, path, text)
+        assert stores.read_text(spark, path) == text
+
+
+def test_raw_reader_filters(spark, tmp_path):
+    stores.append_raw(stores.synthetic_events(spark, 400, 4, 3).select(*landed.EVENT_SCHEMA.fieldNames()), str(tmp_path / "raw"), landed.EVENT_SCHEMA)
+    got = stores.read_raw(spark, str(tmp_path / "raw"), landed.EVENT_SCHEMA, source="benchmark", symbol="SYM001", end=datetime.date(2025, 1, 2))
+    assert {r.symbol for r in got.collect()} == {"SYM001"} and max(r.ts_event for r in got.collect()).date() <= datetime.date(2025, 1, 2)
+    with pytest.raises(stores.CapExceeded):
+        stores.read_raw(spark, str(tmp_path / "raw"), landed.EVENT_SCHEMA, most=10)
+
+
+def test_replay_leaves_out_daily_events(spark):
+    rows = spark.createDataFrame([("a", "feed"), ("daily-1", "feed"), ("b", "daily_feed"), (None, None)], "event_id string, source string")
+    assert sorted(str(r.event_id) for r in replay.minute_eligible(rows, "daily_feed", "daily-").collect()) == ["None", "a"]

@@ -312,7 +312,7 @@ def outbox_reconciliation(outbox: DataFrame, current: DataFrame, moves: DataFram
     return suite(
         [
             same_count("outbox_current_per_actionable_transition", current, acts),
-            measure("outbox_summary_reconciles", limits.outbox_summary(current).select(F.col("events").alias("a"), F.lit(0).alias("e")).unionByName(current.select(F.lit(0).alias("a"), F.lit(1).alias("e"))), F.sum("a"), F.sum("e")),
+            measure("outbox_summary_reconciles", limits.outbox_summary(current, ["policy_id", "portfolio_id", "metric_name", "event_type", "delivery_disposition"]).select(F.col("events").alias("a"), F.lit(0).alias("e")).unionByName(current.select(F.lit(0).alias("a"), F.lit(1).alias("e"))), F.sum("a"), F.sum("e")),
             check("outbox_previous_evaluation_orphans", orphans(outbox, "source_previous_evaluation_calculation_id", evaluations)),
             check("outbox_transition_metadata_differs", pairs.where(unlike)),
             check("outbox_transition_ingest_differs", pairs.where(F.col("ts_ingest") != F.col("_ts_ingest"))),

@@ -35,7 +35,7 @@ def daily_returns() -> dict[str, Column]:
     }
 
 
-def portfolio_returns(tolerance: float = 1e-6) -> dict[str, Column]:
+def portfolio_returns(tolerance: float = 1e-12, weight_tolerance: float = 1e-9) -> dict[str, Column]:
     w, r, c = (json_object(_c(n), "double") for n in ("weights_json", "component_returns_json", "contributions_json"))
     keys = lambda m: F.array_sort(F.map_keys(m))
     return {
@@ -44,13 +44,13 @@ def portfolio_returns(tolerance: float = 1e-6) -> dict[str, Column]:
         "two_to_fifty_constituents": _c("constituent_count").between(2, 50),
         "constituents_counted": F.size(w) == _c("constituent_count"),
         "same_keys": (keys(w) == keys(r)) & (keys(w) == keys(c)),
-        "weights_add_to_one": F.abs(_total(w) - 1) <= 1e-5,
+        "weights_add_to_one": F.abs(_total(w) - 1) <= weight_tolerance,
         "contributions_add_up": F.abs(_total(c) - _c("portfolio_return_1d")) <= tolerance,
         "event_at_midnight": F.unix_micros("ts_event") % 86_400_000_000 == 0,
     }
 
 
-def attribution() -> dict[str, Column]:
+def attribution(share_tolerance: float = 1e-9) -> dict[str, Column]:
     shares = json_object(_c("component_contribution_share_json"), "double")
     zero = _c("portfolio_volatility_annualized") <= 1e-12
     return {
@@ -61,7 +61,7 @@ def attribution() -> dict[str, Column]:
         "volatility_not_negative": _c("portfolio_volatility_annualized") >= 0,
         "status_matches": F.when(_c("volatility_status") == "zero", zero).otherwise(~zero),
         "two_shares_or_more": F.size(shares) >= 2,
-        "shares_add_to_one": zero | (F.abs(_total(shares) - 1) <= 1e-5),
+        "shares_add_to_one": zero | (F.abs(_total(shares) - 1) <= share_tolerance),
     }
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.ids import content_id
+from tidegrid.operators.quality import QualityError
 
 #: The version and the number of trading days of a year.
 MODEL_VERSION = "daily-risk-v2"
@@ -25,7 +27,43 @@ def daily_closes(events: DataFrame, key: Sequence[str] = ("source", "symbol")) -
     return closes.select(*key, "day", F.col("_c.price").alias("price"), F.col("_c.event_id").alias("event_id"), F.col("_c.ts_ingest").alias("ts_ingest"))
 
 
-def daily_risk(closes: DataFrame, key: Sequence[str] = ("source", "symbol"), volatility_window: int = 20, var_window: int = 60, confidence: float = 0.95) -> DataFrame:
+def event_problems(events: DataFrame) -> DataFrame:
+    """(problem, rows): what keeps events from being daily closes; no rows if nothing does.
+
+    Stamps must be UTC midnight, identity fields not blank, prices finite and above 0,
+    volumes not below 0, identifiers unique, and a source has one close per symbol
+    and day.
+    """
+    c = F.col
+    blank = F.coalesce(F.trim("event_id") == "", F.lit(True)) | F.coalesce(F.trim("symbol") == "", F.lit(True)) | F.coalesce(F.trim("source") == "", F.lit(True))
+    rules = {
+        "not_midnight": ~F.coalesce(F.unix_micros("ts_event") % 86_400_000_000 == 0, F.lit(False)),
+        "blank_identity": blank,
+        "price_not_positive": ~F.coalesce((c("price") > 0) & (c("price") < float("inf")) & ~F.isnan("price"), F.lit(False)),
+        "volume_negative": F.coalesce(c("volume") < 0, F.lit(True)),
+    }
+    rows = events.agg(*(F.count_if(rule).alias(name) for name, rule in rules.items()))
+    twice = lambda name, *key: events.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias(name))
+    both = [rows.select(F.lit(name).alias("problem"), F.col(name).alias("rows")) for name in rules]
+    both += [twice(name, *key).select(F.lit(name).alias("problem"), F.col(name).alias("rows")) for name, key in {"repeated_event_id": ["event_id"], "more_than_one_close": ["source", "symbol", F.to_date("ts_event")]}.items()]
+    out = both[0]
+    for part in both[1:]:
+        out = out.unionByName(part)
+    return out.where("rows > 0")
+
+
+def validated(events: DataFrame, end: date | None = None) -> DataFrame:
+    """``events`` up to ``end``, if they are daily closes; else QualityError with the problems."""
+    known = events.where(F.to_date("ts_event") <= F.lit(end)) if end else events
+    problems = {r.problem: r.rows for r in event_problems(known).collect()}  # a row per rule
+    if problems:
+        raise QualityError(f"not daily closes: {problems}")
+    if known.limit(2).count() < 2:
+        raise QualityError("daily risk needs at least two observations")
+    return known
+
+
+def daily_risk(closes: DataFrame, key: Sequence[str] = ("source", "symbol"), volatility_window: int = 20, var_window: int = 252, confidence: float = 0.95) -> DataFrame:
     """One row per close but the first of its key.
 
     volatility_annualized needs a full window of returns, historical_var_loss two

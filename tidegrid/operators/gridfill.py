@@ -57,11 +57,8 @@ def regular_shards(readings: DataFrame, grid: DataFrame) -> DataFrame:
     slots, g = slot_readings(readings, grid)
     entry = F.struct("slot", "readings", F.col("_first.price").alias("first_price"), F.col("_last.us").alias("last_us"), F.col("_last.price").alias("last_price"))
     shards = stage(slots.groupBy("_key", "day").agg(F.array_sort(F.collect_list(F.when(F.col("slot") >= 0, entry))).alias("taken")), "grid-shards")
-    lo, hi = shards.agg(F.min("day"), F.max("day")).first()
-    if lo is None:
-        lo, hi = 0, -1
-    calendar = g.where(F.lit(lo <= hi)).select("*", F.explode(F.sequence(F.lit(lo), F.lit(max(lo, hi)))).alias("day"))
-    active = calendar.join(bounded_broadcast(shards.select("day").distinct()), "day", "left_semi")
+    days = shards.select("day").distinct().agg(F.sort_array(F.collect_list("day")).alias("days"))  # an integer per active day
+    active = g.withColumn("day", F.explode(days.scalar()))
     last = F.try_element_at("taken", F.lit(-1))
     return active.join(shards, ["_key", "day"], "left").withColumn("summary", F.when(last.isNotNull(), F.struct(last["last_us"].alias("us"), last["last_price"].alias("price"))))
 

@@ -1,9 +1,11 @@
 """Late and out-of-order events: aggregates by event time, corrected up to a cut-off.
 
 Stream slicing: events are reduced to non-overlapping panes as long as the step
-of the windows, separately for what arrived before the pane's publication, up to
-the cut-off, and after it. A late event changes one pane only; the windows that
-cover a changed pane are composed again from their panes and emitted again.
+of the windows, separately by how late they arrived, counted in panes: after the
+pane's publication and after its cut-off. A window's publication and cut-off come
+with its own end, so an event late for its pane may be in time for a window that
+ends later; the counts tell which. A late event changes one pane only; the windows
+that cover a changed pane are composed again from their panes and emitted again.
 Panes are partial aggregates, so a hot symbol is combined before the shuffle.
 """
 
@@ -28,23 +30,32 @@ def usable(deliveries: DataFrame) -> DataFrame:
     )
 
 
-def arrival_class(pane_start: Column, pane_seconds: int, publish_after: int, cut_off: int) -> Column:
-    """on_time, corrected or rejected, from ts_ingest against the end of the pane."""
-    end = (pane_start + pane_seconds) * 1_000_000
-    return F.when(F.col("ingest_us") <= end + publish_after * 1_000_000, "on_time").when(F.col("ingest_us") <= end + cut_off * 1_000_000, "corrected").otherwise("rejected")
+def in_panes(events: DataFrame, pane_seconds: int, window_seconds: int, publish_after: int, cut_off: int) -> DataFrame:
+    """Adds pane_start (epoch seconds, also before 1970), late and overdue.
 
+    late (overdue) is the number of panes, begun ones included, by which the event
+    arrived after the publication (cut-off) of its pane; 0 if not after it, and at
+    most the number of panes of a window, as more makes no difference.
+    """
+    steps, pane = window_seconds // pane_seconds, pane_seconds * SECOND
+    placed = events.withColumn("pane_start", floor_div(F.col("event_us"), pane) * pane_seconds)
+    end = (F.col("pane_start") + pane_seconds) * SECOND
 
-def panes(events: DataFrame, pane_seconds: int = HOUR, publish_after: int = PUBLISH_AFTER, cut_off: int = CUT_OFF) -> DataFrame:
-    """(symbol, pane_start, arrival): partial aggregates of the events of a pane that arrived alike.
+    def begun(limit: int) -> Column:
+        behind = F.col("ingest_us") - end - limit * SECOND
+        return F.least(F.lit(steps), F.greatest(F.lit(0), -floor_div(-behind, pane))).cast("int")
 
-    Columns: events, volume, notional, low, high, and opening and closing as
-    (event_us, delivery_id, price). pane_start is in epoch seconds, also before 1970.
-    A volume sum beyond 64 bits is null.
-    """
-    start = floor_div(F.col("event_us"), pane_seconds * SECOND) * pane_seconds
-    rows = events.withColumn("pane_start", start).withColumn("arrival", arrival_class(F.col("pane_start"), pane_seconds, publish_after, cut_off))
+    return placed.withColumn("late", begun(publish_after)).withColumn("overdue", begun(cut_off))
+
+
+#: What a pane is: its partial aggregates are kept apart by these.
+PANE = ("symbol", "pane_start", "late", "overdue")
+
+
+def partials() -> list[Column]:
+    """The partial aggregates of a pane; opening and closing are (event_us, delivery_id, price). A volume sum beyond 64 bits is null."""
     mark = F.struct("event_us", "delivery_id", "price")
-    return rows.groupBy("symbol", "pane_start", "arrival").agg(
+    return [
         F.count("*").alias("events"),
         F.try_sum("volume").alias("volume"),
         F.sum("price").alias("notional"),
@@ -52,19 +63,32 @@ def panes(events: DataFrame, pane_seconds: int = HOUR, publish_after: int = PUBL
         F.max("price").alias("high"),
         F.min(mark).alias("opening"),
         F.max(mark).alias("closing"),
-    )
+    ]
+
+
+def panes(events: DataFrame, pane_seconds: int = HOUR, window_seconds: int = HOUR, publish_after: int = PUBLISH_AFTER, cut_off: int = CUT_OFF) -> DataFrame:
+    """(symbol, pane_start, late, overdue) and the partial aggregates of the events of a pane that arrived alike.
+
+    For windows of up to ``window_seconds``, a multiple of the pane.
+    """
+    return in_panes(events, pane_seconds, window_seconds, publish_after, cut_off).groupBy(*PANE).agg(*partials())
 
 
 def compose(parts: DataFrame, pane_seconds: int = HOUR, window_seconds: int = HOUR) -> DataFrame:
     """Windows from panes: each pane goes to the window_seconds / pane_seconds windows that cover it.
 
-    revision 0 is the window as published, revision 1 after all corrections up
-    to the cut-off (only for windows with a corrected pane). Rejected panes
-    change nothing; ``rejected`` counts their events.
+    The panes must have been made for windows at least as long. revision 0 is the
+    window as published, revision 1 after all corrections up to the window's
+    cut-off (only for windows with a correction). Events after it change nothing;
+    ``rejected`` counts them.
     """
     steps = window_seconds // pane_seconds
-    spread = parts if steps == 1 else parts.withColumn("pane_start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.col("pane_start") - i * pane_seconds)))
-    on_time, corrected, rejected = (F.col("arrival") == x for x in ("on_time", "corrected", "rejected"))
+    spread = parts.withColumn("_back", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))) if steps > 1 else parts.withColumn("_back", F.lit(0))
+    spread = spread.withColumn("pane_start", F.col("pane_start") - F.col("_back") * pane_seconds)
+    ahead = steps - 1 - F.col("_back")  # panes between the end of this one and the window's
+    on_time = F.col("late") <= ahead
+    corrected = ~on_time & (F.col("overdue") <= ahead)
+    rejected = ~on_time & (F.col("overdue") > ahead)
 
     def measures(taken: Column, tag: str) -> list[Column]:
         return [

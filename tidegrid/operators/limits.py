@@ -140,16 +140,26 @@ def candidates(moves: DataFrame) -> DataFrame:
     )
 
 
-def current_outbox(outbox: DataFrame, moves: DataFrame) -> DataFrame:
-    """Stored messages that still match an actionable transition, by a null-safe key."""
-    live = actionable(moves).select(F.col("calculation_id").alias("_id"), F.col("previous_calculation_id").alias("_previous"), F.col("transition_type").alias("_kind"), F.col("metric_name").alias("_metric"))
+#: Columns of one line of the outbox summary.
+SUMMARY_KEYS = ("policy_id", "policy_fingerprint", "portfolio_id", "definition_fingerprint", "metric_name", "event_type", "transition_type", "delivery_disposition")
+
+
+def current_outbox(outbox: DataFrame, moves: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Stored messages that still match an actionable transition, by a null-safe key.
+
+    Columns of the transition named in ``carry`` are added to the message.
+    """
+    live = actionable(moves).select(F.col("calculation_id").alias("_id"), F.col("previous_calculation_id").alias("_previous"), F.col("transition_type").alias("_kind"), F.col("metric_name").alias("_metric"), *carry)
     on = (outbox["source_evaluation_calculation_id"] == F.col("_id")) & outbox["source_previous_evaluation_calculation_id"].eqNullSafe(F.col("_previous")) & (outbox["transition_type"] == F.col("_kind")) & (outbox["metric_name"] == F.col("_metric"))
-    return outbox.join(live, on, "left_semi")
+    if not carry:
+        return outbox.join(live, on, "left_semi")
+    once = live.groupBy("_id", "_previous", "_kind", "_metric").agg(*(F.min(c).alias(c) for c in carry))
+    return outbox.join(once, on).drop("_id", "_previous", "_kind", "_metric")
 
 
-def outbox_summary(outbox: DataFrame) -> DataFrame:
-    """Messages per policy, portfolio, metric and disposition."""
-    return outbox.groupBy("policy_id", "portfolio_id", "metric_name", "event_type", "delivery_disposition").agg(F.count("*").alias("events"), F.min("ts_event").alias("first_event"), F.max("ts_event").alias("last_event"))
+def outbox_summary(outbox: DataFrame, keys: Sequence[str] = SUMMARY_KEYS) -> DataFrame:
+    """Messages per policy, portfolio definition, metric, kind and disposition, or per the given keys."""
+    return outbox.groupBy(*keys).agg(F.count("*").alias("events"), F.min("ts_event").alias("first_event"), F.max("ts_event").alias("last_event"))
 
 
 def acknowledge(breaches: DataFrame, requests: DataFrame) -> DataFrame:

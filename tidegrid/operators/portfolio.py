@@ -28,7 +28,7 @@ def json_numbers(text: Column) -> Column:
     return json_object(text, "double")
 
 
-def constituents(portfolio_returns: DataFrame) -> DataFrame:
+def constituents(portfolio_returns: DataFrame, tolerance: float = WEIGHT_TOLERANCE) -> DataFrame:
     """(portfolio_id, definition_fingerprint, base_currency, component, weight, size) of every definition in use.
 
     Definitions whose weights do not add to 1 within tolerance, or hold a weight
@@ -37,7 +37,7 @@ def constituents(portfolio_returns: DataFrame) -> DataFrame:
     defined = portfolio_returns.select("portfolio_id", "definition_fingerprint", "base_currency", json_numbers(F.col("weights_json")).alias("w")).where("w is not null and portfolio_id is not null")
     one = defined.groupBy("portfolio_id", "definition_fingerprint").agg(F.min("base_currency").alias("base_currency"), F.max(F.array_sort(F.map_entries("w"))).alias("w"))
     total = F.aggregate("w", F.lit(0.0), lambda s, e: s + e["value"])
-    one = one.where((F.abs(total - 1) <= 1e-5) & F.forall("w", lambda e: e["value"] > 0))
+    one = one.where((F.abs(total - 1) <= tolerance) & F.forall("w", lambda e: e["value"] > 0))
     spread = one.select("portfolio_id", "definition_fingerprint", "base_currency", F.size("w").alias("size"), F.explode("w").alias("e"))
     return spread.select("portfolio_id", "definition_fingerprint", "base_currency", "size", F.col("e.key").alias("component"), F.col("e.value").alias("weight"))
 

@@ -151,7 +151,9 @@ class Warehouse:
         return self.current_portfolio_risk_notification_outbox().where("delivery_disposition = 'suppressed'")
 
     def portfolio_risk_notification_outbox_summary(self) -> DataFrame:
-        return limits.outbox_summary(self.current_portfolio_risk_notification_outbox())
+        outbox, moves = self._t("portfolio_risk_notification_outbox"), self.portfolio_risk_limit_metric_transitions()
+        carry = [c for c in limits.SUMMARY_KEYS if c not in outbox.columns]
+        return limits.outbox_summary(limits.current_outbox(outbox, moves, carry))
 
     # ---- operations ----------------------------------------------------------
     def pipeline_health(self) -> DataFrame:

@@ -25,6 +25,12 @@ def first_by(df: DataFrame, grain: Sequence[str], order: Sequence[str]) -> DataF
     return df.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")
 
 
+def one_per(df: DataFrame, key: Sequence[str], order: Sequence[str] = ("ts_ingest",)) -> DataFrame:
+    """One row per key: the first by those of ``order`` that the frame has, ties by the text of the whole row."""
+    first = Window.partitionBy(*key).orderBy(*(F.col(c).asc_nulls_last() for c in order if c in df.columns), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+    return df.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
+
+
 def newest(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """The newest n rows of each key with their rank from newest (1) to oldest."""
     rank = Window.partitionBy(*key).orderBy(*(F.col(c).desc_nulls_last() for c in order))
@@ -43,8 +49,8 @@ def upsert_newer(stored: DataFrame, incoming: DataFrame, key: Sequence[str], sta
 
 
 def insert_new(stored: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The incoming rows whose key is not stored yet, one per key."""
-    return incoming.dropDuplicates(list(key)).join(stored.select(*key), list(key), "left_anti")
+    """The incoming rows whose key is not stored yet, one per key: the earliest by ts_ingest, then by content."""
+    return one_per(incoming, key).join(stored.select(*key), list(key), "left_anti")
 
 
 def conflicts(incoming: DataFrame, stored: DataFrame, key: str, content: Sequence[str]) -> DataFrame:

@@ -18,6 +18,8 @@ from tidegrid.session import stage
 
 QUERIES = {}
 VOL_WINDOW, VAR_WINDOW, COV_WINDOW = 5, 10, 10
+#: Weights and shares of the given tables are written with 6 digits, so they add to 1 only to this tolerance.
+GIVEN_DIGITS = 1e-5
 POLICY = {"volatility": (0.25, 0.40), "share": (0.65, 0.80), "fingerprint": "catalogue-policy"}
 
 
@@ -253,13 +255,13 @@ def governed_gaps(spark, folder):
 
 
 def _aligned(spark, folder):
-    parts = stage(portfolio.constituents(table(spark, folder, "portfolio_daily_returns")), "constituents")
+    parts = stage(portfolio.constituents(table(spark, folder, "portfolio_daily_returns"), GIVEN_DIGITS), "constituents")
     return portfolio.aligned_components(parts, portfolio.current_returns(table(spark, folder, "daily_returns")))
 
 
 @query
 def portfolio_constituents(spark, folder):
-    return portfolio.constituents(table(spark, folder, "portfolio_daily_returns")).select("portfolio_id", "definition_fingerprint", "component", "size", *r6("weight"))
+    return portfolio.constituents(table(spark, folder, "portfolio_daily_returns"), GIVEN_DIGITS).select("portfolio_id", "definition_fingerprint", "component", "size", *r6("weight"))
 
 
 @query
@@ -382,7 +384,8 @@ def outbox_current(spark, folder):
 
 @query
 def outbox_summary(spark, folder):
-    return limits.outbox_summary(_outbox(spark, folder)).select("policy_id", "portfolio_id", "metric_name", "event_type", "delivery_disposition", "events", us("first_event").alias("first_us"), us("last_event").alias("last_us"))
+    """All stored messages by the coarser keys; the view of the current ones is view_outbox_summary."""
+    return limits.outbox_summary(_outbox(spark, folder), ["policy_id", "portfolio_id", "metric_name", "event_type", "delivery_disposition"]).select("policy_id", "portfolio_id", "metric_name", "event_type", "delivery_disposition", "events", us("first_event").alias("first_us"), us("last_event").alias("last_us"))
 
 
 def _acknowledgements(spark, folder):
@@ -568,8 +571,8 @@ def contract_violations(spark, folder):
     sets = {
         "market_events_raw": contracts.market_events(),
         "daily_returns": contracts.daily_returns(),
-        "portfolio_daily_returns": contracts.portfolio_returns(),
-        "portfolio_risk_attribution": contracts.attribution(),
+        "portfolio_daily_returns": contracts.portfolio_returns(1e-6, GIVEN_DIGITS),
+        "portfolio_risk_attribution": contracts.attribution(GIVEN_DIGITS),
         "portfolio_risk_limit_evaluations": contracts.limit_evaluations(),
         "portfolio_risk_notification_outbox": contracts.outbox(),
     }

@@ -57,7 +57,7 @@ def minute(events: DataFrame, signals: DataFrame | None = None, late_seconds: in
     return tables
 
 
-def daily_tables(events: DataFrame, volatility_window: int = 20, var_window: int = 60, confidence: float = 0.95) -> dict[str, DataFrame]:
+def daily_tables(events: DataFrame, volatility_window: int = 20, var_window: int = 252, confidence: float = 0.95) -> dict[str, DataFrame]:
     """Events to daily returns and the daily risk summary."""
     risk = stage(daily.daily_risk(daily.daily_closes(events), volatility_window=volatility_window, var_window=var_window, confidence=confidence), "daily-risk")
     returns = risk.select("source", "symbol", F.to_timestamp("day").alias("ts_event"), F.col("return_ingest").alias("ts_ingest"), "return_1d", F.col("return_id").alias("calculation_id"))

@@ -70,7 +70,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_kept(spark: SparkSession, folder: str) -> DataFrame:
-    return redelivery.keep_one(table(spark, folder, "market_events_raw")).select("delivery_id", "event_id", "symbol", "price", "volume")
+    """NaN is told apart from null by a column of its own, as NaN equals nothing."""
+    nan = F.coalesce(F.isnan("price"), F.lit(False))
+    return redelivery.keep_one(table(spark, folder, "market_events_raw")).select("delivery_id", "event_id", "symbol", F.when(~nan, F.col("price")).alias("price"), nan.alias("price_is_nan"), "volume")
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,7 +95,7 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def _windows(spark: SparkSession, folder: str, window_seconds: int = lateness.HOUR) -> DataFrame:
     kept = redelivery.keep_one(table(spark, folder, "market_events_raw"))
-    return lateness.compose(lateness.panes(lateness.usable(kept)), window_seconds=window_seconds)
+    return lateness.compose(lateness.panes(lateness.usable(kept), window_seconds=window_seconds), window_seconds=window_seconds)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,7 +107,12 @@ def p6_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("symbol", F.col("window_start").alias("hour_start"), "revision", "events", "volume", F.round(F.col("average_price") + OFF_HALF, 6).alias("average_price"), "low", "high", "open_price", "close_price", "corrections", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_rolling, p3_found, p3_profile, p3_columns, p3_drift, p4_found, p4_kept, p5_found, p5_report, p6_found, p6_hourly)}
+def p6_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of three hours, one beginning each hour; arrival is judged against the end of each window."""
+    return _windows(spark, folder, 3 * lateness.HOUR).select("symbol", "window_start", "events_published", "events_final", "volume_final", "low_final", "high_final", "corrections", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_rolling, p3_found, p3_profile, p3_columns, p3_drift, p4_found, p4_kept, p5_found, p5_report, p6_found, p6_hourly, p6_sliding)}
 
 _TRIM = "trim({0}, ' ' || chr(9))"
 _SYMBOL = "nullif(upper(trim(symbol, ' ' || chr(9))), '')"
@@ -215,7 +222,7 @@ UNION ALL
 SELECT m.metric_id, field, 'level_shift' FROM (SELECT DISTINCT metric_id, batch_id AS load FROM data_quality_metrics) m JOIN p USING (load) JOIN field_baseline b USING (field) WHERE abs(level_mean - usual_log10_mean) > 0.3""",
     "p3_profile": f"SELECT load, field, n AS rows, nulls, blanks, invalid, distinct_values, round(level_mean, 6) AS level_mean FROM ({_FIELD_ROWS})",
     "p4_found": _SURPLUS + "SELECT event_id, delivery_id FROM surplus",
-    "p4_kept": _SURPLUS + "SELECT delivery_id, event_id, symbol, price, volume FROM market_events_raw WHERE delivery_id NOT IN (SELECT delivery_id FROM surplus)",
+    "p4_kept": _SURPLUS + "SELECT delivery_id, event_id, symbol, CASE WHEN NOT isnan(price) THEN price END AS price, coalesce(isnan(price), FALSE) AS price_is_nan, volume FROM market_events_raw WHERE delivery_id NOT IN (SELECT delivery_id FROM surplus)",
     "p5_found": _ORPHANS + "SELECT table_name, period, record_id, missing_id, state FROM found",
     "p5_report": _ORPHANS + "SELECT table_name, period, state, count(*) AS orphan_references, count(DISTINCT record_id) AS records FROM found GROUP BY ALL",
     "p6_found": _HOURS + "SELECT DISTINCT symbol, h AS hour_start, CASE c WHEN 1 THEN 'corrected' ELSE 'rejected' END AS outcome FROM classed WHERE c > 0",
@@ -226,6 +233,14 @@ agg AS (SELECT symbol, h, revision, count(*) AS events, CAST(sum(volume) AS BIGI
 SELECT symbol, h AS hour_start, revision, events, volume, average_price, low, high, open_price, close_price, corrections, rejected FROM agg JOIN base USING (symbol, h)""",
 }
 
+ORACLES["p6_sliding"] = (
+    _HOURS
+    + """, spread AS (SELECT symbol, h - k * 3600 AS window_start, i, price, volume FROM (SELECT *, unnest([0, 1, 2]) AS k FROM classed)),
+judged AS (SELECT *, CASE WHEN i <= (window_start + 3 * 3600 + 300) * 1000000 THEN 0 WHEN i <= (window_start + 3 * 3600 + 86400) * 1000000 THEN 1 ELSE 2 END AS w FROM spread)
+SELECT symbol, window_start, count(*) FILTER (WHERE w = 0) AS events_published, count(*) FILTER (WHERE w < 2) AS events_final, CAST(sum(volume) FILTER (WHERE w < 2) AS BIGINT) AS volume_final, min(price) FILTER (WHERE w < 2) AS low_final, max(price) FILTER (WHERE w < 2) AS high_final, count(*) FILTER (WHERE w = 1) AS corrections, count(*) FILTER (WHERE w = 2) AS rejected
+FROM judged GROUP BY symbol, window_start"""
+)
+
 
 def _column_figures(f: str) -> str:
     text, level = f in drift.COLUMN_TEXTS, f in drift.LEVEL_FIELDS

@@ -19,19 +19,19 @@ from tidegrid.functions.text import signal_name, symbol_key
 #: Names under which a field may arrive.
 EVENT_ALIASES: Mapping[str, Sequence[str]] = {
     "event_id": ("event_id", "id"),
-    "symbol": ("symbol", "ticker"),
-    "price": ("price", "close", "adj_close"),
-    "volume": ("volume", "vol"),
-    "ts_event": ("ts_event", "timestamp", "datetime", "date", "time"),
-    "ts_ingest": ("ts_ingest", "ingested_at"),
+    "symbol": ("symbol", "ticker", "instrument"),
+    "price": ("price", "close", "last", "last_price"),
+    "volume": ("volume", "trade_volume"),
+    "ts_event": ("ts_event", "event_time", "timestamp", "datetime", "date"),
+    "ts_ingest": ("ts_ingest", "ingest_time", "ingested_at"),
     "source": ("source", "provider"),
 }
 SIGNAL_ALIASES: Mapping[str, Sequence[str]] = {
-    "signal_id": ("signal_id", "id"),
-    "name": ("name", "indicator", "series", "series_id"),
-    "value": ("value", "reading"),
-    "ts_event": ("ts_event", "timestamp", "datetime", "date"),
-    "ts_ingest": ("ts_ingest", "ingested_at"),
+    "signal_id": ("signal_id", "event_id", "id"),
+    "name": ("name", "signal", "indicator", "metric"),
+    "value": ("value", "reading", "level", "score"),
+    "ts_event": ("ts_event", "event_time", "timestamp", "datetime", "date"),
+    "ts_ingest": ("ts_ingest", "ingest_time", "ingested_at"),
     "source": ("source", "provider"),
 }
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.operators.quality import QualityError
-from tidegrid.operators.versions import conflicts, content_conflicts, first_by
+from tidegrid.operators.versions import conflicts, content_conflicts, first_by, one_per
 from tidegrid.session import stage
 
 HOUR = ("year", "month", "day", "hour")
@@ -35,6 +35,22 @@ def by_hour(df: DataFrame, stamp: str = "ts_ingest") -> DataFrame:
     return df.withColumns({"year": part("yyyy"), "month": part("MM"), "day": part("dd"), "hour": part("HH")})
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file of the shared store; None if there is none."""
+    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()) if exists(spark, path) else None
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file of the shared store; readers see the old or the new one."""
+    fresh, jpath = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path + ".new", path))
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(jpath, False)
+    fs.rename(fresh, jpath)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
@@ -54,6 +70,26 @@ def hour_partition(spark: SparkSession, path: str, year: str, month: str, day: s
     return df.drop(*HOUR).orderBy("ts_ingest", "event_id")
 
 
+class CapExceeded(ValueError):
+    """More rows match than the caller allows; nothing is cut off."""
+
+
+def capped(df: DataFrame, most: int) -> DataFrame:
+    """``df``, if it has at most ``most`` rows; else CapExceeded. One row beyond the cap is looked for, not all counted."""
+    if df.limit(most + 1).count() > most:
+        raise CapExceeded(f"more than {most} rows")
+    return df
+
+
+def read_raw(spark: SparkSession, path: str, schema: T.StructType, source: str | None = None, symbol: str | None = None, end: Any = None, most: int | None = None) -> DataFrame:
+    """Events of a raw store of one source and symbol up to the day ``end``; CapExceeded beyond ``most`` rows."""
+    df = read_store(spark, path, schema)
+    for column, value in (("source", source), ("symbol", symbol)):
+        df = df.where(F.col(column) == value) if value is not None else df
+    df = df.where(F.to_date("ts_event") <= F.lit(end)) if end is not None else df
+    return capped(df, most) if most is not None else df
+
+
 def append_raw(incoming: DataFrame, path: str, schema: T.StructType, key: str = "event_id", content: Sequence[str] = CONTENT) -> int:
     """Append unseen events to the immutable raw store; the number of rows written.
 
@@ -78,7 +114,7 @@ def append_curated(records: DataFrame, path: str, key: Sequence[str], stamp: str
     """Append the records whose key is not in the dataset yet, by hour of ``stamp``; the number written."""
     spark = records.sparkSession
     stored = read_store(spark, path, by_hour(records, stamp).drop(*HOUR).schema)
-    new = stage(records.dropDuplicates(list(key)).join(stored.select(*key), list(key), "left_anti"), "curated-new")
+    new = stage(one_per(records, key, (stamp,)).join(stored.select(*key), list(key), "left_anti"), "curated-new")
     n = new.count()
     if n:
         by_hour(new, stamp).repartition(*HOUR).write.partitionBy(*HOUR).mode("append").parquet(path)
@@ -95,7 +131,7 @@ def append_acknowledgements(new: DataFrame, path: str, key: Sequence[str] = ("ca
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"_s_{c}"))
     if changed.where(differs).limit(1).count():
         raise ConflictError("a request is stored with other content")
-    fresh = stage(new.dropDuplicates(list(key)).join(stored.select(*key), list(key), "left_anti"), "acknowledgements")
+    fresh = stage(one_per(new, key, ("acknowledged_at",)).join(stored.select(*key), list(key), "left_anti"), "acknowledgements")
     n = fresh.count()
     if n:
         fresh.write.mode("append").parquet(path)

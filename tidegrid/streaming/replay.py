@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidegrid.sources.stores import append_raw, hour_partition, exists
+from tidegrid.sources.stores import append_raw, exists, hour_partition, read_text, write_text
 
 
 def ingest(events: DataFrame, path: str, schema: T.StructType, checkpoint: str) -> StreamingQuery:
@@ -28,22 +28,24 @@ def recent_duplicates_dropped(events: DataFrame, horizon: str = "1 day") -> Data
     return events.withWatermark("ts_event", horizon).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def minute_eligible(events: DataFrame, daily_source: str, daily_prefix: str) -> DataFrame:
+    """The events that minute figures are replayed from: none of the daily source, and none with its prefix of event ids."""
+    return events.where(~F.coalesce(F.col("source") == daily_source, F.lit(False)) & ~F.coalesce(F.startswith("event_id", F.lit(daily_prefix)), F.lit(False)))
+
+
 def backfill(spark: SparkSession, path: str, start: datetime, end: datetime, run: Callable[[DataFrame, datetime], int], checkpoint: str) -> dict[str, int]:
     """Run ``run`` for each hour of [start, end) that has a partition; hours done before are skipped.
 
-    The checkpoint file records each hour after its run.
+    The checkpoint, a file of the shared store like the data, records each hour
+    after its run. If a run was lost while it was written, the new file counts.
     """
-    done: dict[str, int] = {}
-    if os.path.exists(checkpoint):
-        with open(checkpoint) as f:
-            done = json.load(f)
+    told = read_text(spark, checkpoint) or read_text(spark, checkpoint + ".new")
+    done: dict[str, int] = json.loads(told) if told else {}
     hour = start.replace(minute=0, second=0, microsecond=0)
     while hour < end:
         name, parts = hour.isoformat(), (f"{hour:%Y}", f"{hour:%m}", f"{hour:%d}", f"{hour:%H}")
         if name not in done and exists(spark, f"{path}/year={parts[0]}/month={parts[1]}/day={parts[2]}/hour={parts[3]}"):
             done[name] = run(hour_partition(spark, path, *parts), hour)
-            with open(checkpoint + ".new", "w") as f:
-                json.dump(done, f, sort_keys=True)
-            os.replace(checkpoint + ".new", checkpoint)
+            write_text(spark, checkpoint, json.dumps(done, sort_keys=True))
         hour += timedelta(hours=1)
     return done
