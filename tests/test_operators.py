@@ -271,3 +271,13 @@ def test_daily_events_are_validated(spark, at):
 def test_one_row_per_key_is_defined(spark):
     rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "z"), ("a", 1, "y"), ("b", None, "q")], "k string, ts_ingest int, v string")
     assert sorted((r.k, r.v) for r in versions.one_per(rows, ["k"]).collect()) == [("a", "y"), ("b", "q")]
+
+
+def test_dimension_history(spark):
+    schema = "k string, effective_from int, color string"
+    first = versions.upsert_dimension(spark.createDataFrame([], schema), spark.createDataFrame([("a", 1, "red"), ("b", 1, "blue")], schema), ["k"], ["color"])
+    then = versions.upsert_dimension(first, spark.createDataFrame([("a", 5, "red"), ("a", 7, "green"), ("b", 1, "black")], schema), ["k"], ["color"])
+    assert sorted((r.k, r.effective_from, r.effective_to, r.color, r.is_current) for r in then.collect()) == [("a", 1, 7, "red", False), ("a", 7, None, "green", True), ("b", 1, None, "black", True)]
+    assert versions.dimension_problems(then, ["k"]).count() == 0
+    broken = spark.createDataFrame([("a", 1, 9, True), ("a", 5, None, True), ("b", 3, 2, False)], "k string, effective_from int, effective_to int, is_current boolean")
+    assert {r.problem: r["keys"] for r in versions.dimension_problems(broken, ["k"]).collect()} == {"not_one_current": 2, "overlap": 1, "reversed": 1}

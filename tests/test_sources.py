@@ -148,3 +148,16 @@ def test_raw_reader_filters(spark, tmp_path):
 def test_replay_leaves_out_daily_events(spark):
     rows = spark.createDataFrame([("a", "feed"), ("daily-1", "feed"), ("b", "daily_feed"), (None, None)], "event_id string, source string")
     assert sorted(str(r.event_id) for r in replay.minute_eligible(rows, "daily_feed", "daily-").collect()) == ["None", "a"]
+
+
+def test_tables_are_loaded_by_key(spark, tmp_path, at):
+    rows = spark.createDataFrame([("a", at("2024-01-01T00:00:00"), 1.0), ("a", at("2024-01-02T00:00:00"), 2.0), ("b", None, 3.0)], "calculation_id string, ts_ingest timestamp, return_1d double")
+    folder = str(tmp_path / "warehouse")
+    assert stores.load_tables({"daily_returns": rows}, folder, dry_run=True) == {"daily_returns": 2}
+    assert not stores.exists(spark, folder)
+    stores.load_tables({"daily_returns": rows}, folder)
+    stores.load_tables({"daily_returns": rows.where("calculation_id = 'b'").withColumn("return_1d", F.lit(9.0))}, folder)
+    got = stores.current_table(spark, f"{folder}/daily_returns")
+    assert sorted((r.calculation_id, r.return_1d) for r in got.collect()) == [("a", 2.0), ("b", 9.0)]
+    with pytest.raises(ValueError):
+        stores.load_tables({"other": rows}, folder)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.session import bounded_broadcast
+from tidegrid.session import bounded_broadcast, stage
 
 ACCURACY = 10_000
 
@@ -23,6 +23,7 @@ def exact_quantile(df: DataFrame, key: Sequence[str], value: str, q: float, out:
     edges = F.percentile_approx(value, [max(0.0, q - slack), min(1.0, q + slack)], ACCURACY)
     rows = df.where(F.col(value).isNotNull())
     bounds = rows.groupBy(*key).agg(F.count("*").alias("n"), edges.alias("_e")).select(*key, "n", F.get("_e", F.lit(0)).alias("_lo"), F.get("_e", F.lit(1)).alias("_hi"))
+    bounds = stage(bounds, "quantile-bounds")  # measured and joined: made once
     # side -1 and 1: only counted, with the value next to the bracket; 0: kept by value
     low = F.lit(q > slack) & (F.col(value) < F.col("_lo"))
     side = F.when(low, -1).when(F.lit(q < 1 - slack) & (F.col(value) > F.col("_hi")), 1).otherwise(0)

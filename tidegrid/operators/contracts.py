@@ -89,3 +89,45 @@ def outbox() -> dict[str, Column]:
         "severity_matches": _c("severity_rank") == F.when(_c("current_status") == "critical", 2).when(_c("current_status") == "warning", 1).otherwise(0),
         "payload_readable": json_object(_c("payload_json"), "string").isNotNull(),
     }
+
+
+#: Stored tables: texts that must be there, JSON objects, figures that must be finite, and whether a currency is stored.
+COMMON: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...], bool]] = {
+    "daily_returns": (("calculation_id", "model_version", "source", "symbol", "source_event_id", "previous_source_event_id"), (), ("return_1d",), False),
+    "portfolio_daily_returns": (
+        ("calculation_id", "model_version", "portfolio_id", "definition_fingerprint", "weighting_method"),
+        ("weights_json", "component_calculation_ids_json", "component_returns_json", "contributions_json"),
+        ("portfolio_return_1d",),
+        True,
+    ),
+    "portfolio_risk_attribution": (
+        ("calculation_id", "model_version", "portfolio_id", "definition_fingerprint", "weighting_method", "covariance_method", "correlation_method", "volatility_status"),
+        ("component_contribution_share_json",),
+        ("portfolio_volatility_annualized",),
+        True,
+    ),
+    "portfolio_risk_limit_evaluations": (
+        ("calculation_id", "model_version", "policy_id", "policy_fingerprint", "portfolio_id", "definition_fingerprint", "attribution_calculation_id", "attribution_model_version", "weighting_method", "covariance_method", "correlation_method", "metric_name", "subject_type", "subject_key", "unit", "status"),
+        (),
+        ("observed_value", "observed_signed_value", "warning_threshold", "critical_threshold", "breach_excess"),
+        True,
+    ),
+    "portfolio_risk_notification_outbox": (
+        ("event_id", "model_version", "event_type", "transition_type", "delivery_disposition", "source_evaluation_calculation_id", "policy_id", "portfolio_id", "metric_name", "subject_type", "subject_key", "current_status"),
+        ("payload_json",),
+        ("observed_value", "warning_threshold", "critical_threshold"),
+        False,
+    ),
+}
+
+
+def common(table: str) -> dict[str, Column]:
+    """The constraints of a stored table that come of its row in COMMON; a null figure or time meets them."""
+    texts, objects, numbers, currency = COMMON[table]
+    rules = {f"{t}_present": F.coalesce(_c(t) != "", F.lit(False)) for t in texts}
+    rules |= {f"{o}_is_object": json_object(_c(o), "string").isNotNull() for o in objects}
+    rules |= {f"{n}_finite": ~F.isnan(n) & (F.abs(n) < float("inf")) | _c(n).isNull() for n in numbers}
+    rules["ingested_after_event"] = _c("ts_ingest") >= _c("ts_event")
+    if currency:
+        rules["currency_upper"] = _c("base_currency") == F.upper("base_currency")
+    return rules

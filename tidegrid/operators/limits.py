@@ -179,3 +179,12 @@ def breach_status(breaches: DataFrame, acknowledgements: DataFrame) -> DataFrame
     latest = acknowledgements.groupBy("calculation_id").agg(F.count("*").alias("acknowledgements"), F.max(F.struct("acknowledged_at", "acknowledgement_id", "acknowledged_by")).alias("_a"))
     out = breaches.where("is_breach").join(latest, "calculation_id", "left")
     return out.withColumn("acknowledgements", F.coalesce("acknowledgements", F.lit(0))).withColumn("acknowledged_at", F.col("_a.acknowledged_at")).withColumn("acknowledged_by", F.col("_a.acknowledged_by")).withColumn("acknowledgement_status", F.when(F.col("acknowledgements") > 0, "acknowledged").otherwise("open")).drop("_a")
+
+
+def diagnostics(stored: DataFrame) -> DataFrame:
+    """Per policy: stored records, current evaluations, snapshots, evaluations by status, first and last day."""
+    keys = ["policy_id", "policy_fingerprint"]
+    matched = stored.groupBy(*keys).agg(F.count("*").alias("matched_records"))
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("ok", "warning", "critical")]
+    now = latest_evaluations(stored).groupBy(*keys).agg(F.count("*").alias("current_evaluations"), F.count_distinct("attribution_calculation_id").alias("snapshots"), *counts, F.min(F.to_date("ts_event")).alias("first_date"), F.max(F.to_date("ts_event")).alias("last_date"))
+    return matched.join(now, keys)

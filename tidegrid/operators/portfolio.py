@@ -61,6 +61,15 @@ def aligned_components(parts: DataFrame, returns: DataFrame) -> DataFrame:
     return days.where(F.size("components") == F.col("size"))
 
 
+def alignment_diagnostics(parts: DataFrame, returns: DataFrame) -> DataFrame:
+    """Per portfolio definition: days with any constituent's return, days with all of them, and those dropped as incomplete."""
+    keys = ["portfolio_id", "definition_fingerprint"]
+    days = returns.join(bounded_broadcast(parts), "component").groupBy(*keys, "size", "day").agg(F.count("*").alias("n"))
+    whole = F.col("n") == F.col("size")
+    out = days.groupBy(*keys).agg(F.count("*").alias("candidate_dates"), F.count_if(whole).alias("aligned_dates"), F.min(F.when(whole, F.col("day"))).alias("first_aligned"), F.max(F.when(whole, F.col("day"))).alias("last_aligned"))
+    return out.withColumn("dropped_incomplete_dates", F.col("candidate_dates") - F.col("aligned_dates"))
+
+
 def portfolio_returns(aligned: DataFrame) -> DataFrame:
     """Portfolio return per aligned day: the weighted sum of the component returns, with its identifier."""
     total = F.aggregate("components", F.lit(0.0), lambda s, c: s + c["weight"] * c["return_1d"])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.operators import limits, portfolio
-from tidegrid.operators.versions import latest_by
+from tidegrid.operators.versions import latest_by, one_per
 from tidegrid.session import bounded_broadcast
 
 VERSION = ["ts_ingest", "calculation_id"]
@@ -115,7 +115,8 @@ class Warehouse:
         return limits.snapshot_status(self.latest_portfolio_risk_limit_evaluations(), ["policy_id", "policy_fingerprint", "portfolio_id", "definition_fingerprint", "attribution_calculation_id", "ts_event"])
 
     def portfolio_risk_limit_acknowledgement_history(self) -> DataFrame:
-        about = self._t("portfolio_risk_limit_evaluations").select("calculation_id", "policy_id", "portfolio_id", "metric_name", "ts_event", "status", "observed_value").dropDuplicates(["calculation_id"])
+        about = self._t("portfolio_risk_limit_evaluations").select("calculation_id", "policy_id", "portfolio_id", "metric_name", "ts_event", "status", "observed_value")
+        about = one_per(about, ["calculation_id"], ["ts_event"])
         return self._t("portfolio_risk_limit_acknowledgements").join(about, "calculation_id")
 
     def portfolio_risk_limit_breach_status(self) -> DataFrame:

@@ -73,6 +73,31 @@ def effective_intervals(df: DataFrame, key: Sequence[str], start: str = "effecti
     return df.withColumn(end, F.lead(start).over(line)).withColumn("is_current", F.col(end).isNull())
 
 
+def upsert_dimension(history: DataFrame, incoming: DataFrame, key: Sequence[str], attributes: Sequence[str], start: str = "effective_from", end: str = "effective_to") -> DataFrame:
+    """A type-2 history with new versions: each opens where its attributes differ from the version before it.
+
+    ``incoming``: key, attributes and start. Of versions that start together the
+    incoming one counts; a version equal to the one before it opens nothing.
+    """
+    columns = [*key, start, *attributes]
+    both = history.select(*columns, F.lit(0).alias("_new")).unionByName(incoming.select(*columns, F.lit(1).alias("_new")))
+    one = latest_by(both, [*key, start], ["_new", *attributes]).drop("_new")
+    line = Window.partitionBy(*key).orderBy(start)
+    state = F.struct(*attributes)
+    changed = one.withColumn("_same", state.eqNullSafe(F.lag(state).over(line)) & (F.row_number().over(line) > 1)).where("not _same").drop("_same")
+    return effective_intervals(changed, key, start, end)
+
+
+def dimension_problems(history: DataFrame, key: Sequence[str], start: str = "effective_from", end: str = "effective_to") -> DataFrame:
+    """(problem, keys): keys without exactly one current version, and keys whose versions overlap or end before they start."""
+    line = Window.partitionBy(*key).orderBy(start)
+    seen = history.withColumn("_overlap", F.coalesce(F.lag(end).over(line) > F.col(start), F.lag(start).over(line).isNotNull() & F.lag(end).over(line).isNull()))
+    per_key = seen.groupBy(*key).agg(F.count_if("is_current").alias("_current"), F.max("_overlap").alias("_overlap"), F.max(F.coalesce(F.col(end) <= F.col(start), F.lit(False))).alias("_reversed"))
+    tests = {"not_one_current": F.col("_current") != 1, "overlap": F.col("_overlap"), "reversed": F.col("_reversed")}
+    out = per_key.agg(*(F.count_if(test).alias(name) for name, test in tests.items()))
+    return out.select(F.explode(F.array(*(F.struct(F.lit(name).alias("problem"), F.col(name).alias("keys")) for name in tests))).alias("p")).select("p.*").where("keys > 0")
+
+
 def as_of(facts: DataFrame, versions: DataFrame, key: Sequence[str], at: str, start: str = "effective_from", end: str = "effective_to") -> DataFrame:
     """Each fact with the version valid at its time, or nulls: an equi-join with a range residual."""
     v = versions.withColumnsRenamed({k: f"_v_{k}" for k in key})

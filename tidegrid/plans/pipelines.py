@@ -110,14 +110,17 @@ def write(tables: Mapping[str, DataFrame], folder: str, run: str, parameters: Ma
     return stores.manifest(run, {}, counts, parameters)
 
 
-def run_minute(spark: SparkSession, path: str, folder: str, source: str = "landed", signals_path: str | None = None, **options: Any) -> dict[str, Any]:
-    """A landed file through the minute pipeline into a store. Rows that cannot be typed fail the batch."""
+def run_minute(spark: SparkSession, path: str, folder: str, source: str = "landed", signals_path: str | None = None, dry_run: bool = False, **options: Any) -> dict[str, Any]:
+    """A landed file through the minute pipeline into a store. Rows that cannot be typed fail the batch; a dry run only counts rows."""
     events, rejected = landed.market_events(landed.read_landed(spark, path), source)
     if problems := [r.problems for r in rejected.select("problems").limit(5).collect()]:
         raise quality.QualityError(f"rows cannot be used: {problems}")
     signals = landed.signals(landed.read_landed(spark, signals_path), source)[0] if signals_path else None
     ordered = events.withColumn("delivery_id", F.monotonically_increasing_id())  # the order of the file
-    return write(minute(stage(ordered, "landed"), signals, **options), folder, "minute", {"path": path} | options)
+    tables = minute(stage(ordered, "landed"), signals, **options)
+    if dry_run:
+        return {"run": "minute", "rows": {name: df.count() for name, df in tables.items()}}
+    return write(tables, folder, "minute", {"path": path} | options)
 
 
 def ingest_provider(spark: SparkSession, body: bytes, symbol: str, source: str, path: str) -> int:

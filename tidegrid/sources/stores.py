@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.operators.quality import QualityError
-from tidegrid.operators.versions import conflicts, content_conflicts, first_by, one_per
-from tidegrid.session import stage
+from tidegrid.operators.versions import conflicts, content_conflicts, first_by, latest_by, one_per, upsert
+from tidegrid.session import bounded_broadcast, stage
 
 HOUR = ("year", "month", "day", "hour")
 CONTENT = ("symbol", "price", "volume", "ts_event", "source")
@@ -99,7 +99,8 @@ def append_raw(incoming: DataFrame, path: str, schema: T.StructType, key: str =
     """
     spark = incoming.sparkSession
     batch = stage(incoming.select(*schema.fieldNames()), "raw-batch")
-    stored = read_store(spark, path, schema)
+    # of the store only what the batch names; a batch of a checked size goes to the store's tasks, which then need no shuffle
+    stored = read_store(spark, path, schema).join(bounded_broadcast(batch.select(key).distinct()), key, "left_semi")
     clash = content_conflicts(batch, key, content).select(key).unionByName(conflicts(batch, stored, key, content)).limit(5).collect()
     if clash:
         raise ConflictError("other content under known ids: " + ", ".join(str(r[0]) for r in clash))
@@ -148,6 +149,42 @@ def current_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{max(_versions(spark, path))}")
 
 
+#: The key by which each dataset is loaded into its table.
+LOAD_KEYS: Mapping[str, tuple[str, ...]] = {
+    "market_events_raw": ("event_id",),
+    "returns_1m": ("symbol", "ts_event"),
+    "volatility_5m": ("symbol", "ts_event"),
+    "data_quality_metrics": ("ts_ingest",),
+    "risk_summary": ("symbol", "ts_ingest"),
+    "external_signal_summary": ("name", "source", "latest_signal_id"),
+    "daily_returns": ("calculation_id",),
+    "daily_volatility": ("calculation_id",),
+    "daily_risk_summary": ("calculation_id",),
+    "portfolio_daily_returns": ("calculation_id",),
+    "portfolio_daily_risk_summary": ("calculation_id",),
+}
+
+
+def load_tables(datasets: Mapping[str, DataFrame], folder: str, dry_run: bool = False) -> dict[str, int]:
+    """Load each dataset into its table under ``folder`` by its key; the number of incoming rows by table.
+
+    Rows of a known key are replaced, of rows of one key in the batch the last by
+    ts_ingest counts; loaded_at is the time of the load. A dry run only counts.
+    """
+    if unknown := sorted(set(datasets) - set(LOAD_KEYS)):
+        raise ValueError(f"no key for {unknown}")
+    counts = {}
+    for name, rows in datasets.items():
+        key = LOAD_KEYS[name]
+        once = stage(latest_by(rows, list(key), [c for c in ("ts_ingest",) if c in rows.columns] or list(key)), f"load-{name}")
+        counts[name] = once.count()
+        if not dry_run and counts[name]:
+            path, incoming = f"{folder}/{name}", once.withColumn("loaded_at", F.current_timestamp())
+            have = _versions(rows.sparkSession, path)
+            replace_table(upsert(current_table(rows.sparkSession, path), incoming, key) if have else incoming, path)
+    return counts
+
+
 def _versions(spark: SparkSession, path: str) -> list[str]:
     """Complete versions of a table (those with a success mark)."""
     if not exists(spark, path):
