@@ -35,8 +35,9 @@ from tidegrid.session import stage
 #: Folder of the vocabulary files; set TIDEGRID_TOKENIZERS to use another.
 TOKENIZERS = os.environ.get("TIDEGRID_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Fixed value: the pattern that splits text before the merges of the rank files.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the pattern that splits text before the merges of the rank files, as Java reads it fastest:
+#: Unicode white space by its characters, the contractions factored, runs of letters without backtracking.
+PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}++| ?\p{N}++| ?[^\t-\r\x85\p{Z}\p{L}\p{N}]++|[\t-\r\x85\p{Z}]+(?![^\t-\r\x85\p{Z}])|[\t-\r\x85\p{Z}]+"
 #: Number of small maps of the rank literal.
 SHELVES = 1 << 12
 NO_RANK = (1 << 31) - 1
@@ -123,8 +124,8 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text by the tokenizer's pattern, with Unicode classes."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))
+    """The words of a text by the tokenizer's pattern."""
+    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
 def book_words(documents: DataFrame, text: str) -> DataFrame:
@@ -155,7 +156,7 @@ def _coded(documents: DataFrame, text: str, path: str, value: Callable[[Column],
     The book comes as a scalar subquery, an array of small maps like the rank literal.
     """
     codes = stage(encode_words(book_words(documents, text), path), "word-codes")
-    shelf = lambda word: (F.crc32(word.cast("binary")) % CODE_SHELVES).cast("int")
+    shelf = lambda word: F.pmod(F.hash(word), F.lit(CODE_SHELVES))
     filled = codes.groupBy(shelf(F.col("word")).alias("shelf")).agg(F.collect_list(F.struct("word", value(F.col("ids")).cast(kind).alias("code"))).alias("entries"))
     every = codes.sparkSession.range(CODE_SHELVES).select(F.col("id").cast("int").alias("shelf")).join(filled, "shelf", "left")
     shelves = every.agg(F.array_sort(F.collect_list(F.struct("shelf", F.coalesce("entries", F.array().cast(filled.schema["entries"].dataType)).alias("entries")))).alias("a"))
