@@ -85,3 +85,19 @@ def test_provider_ingest(spark, tmp_path):
     body = json.dumps(BODY).encode()
     assert pipelines.ingest_provider(spark, body, "IBM", "bars", str(tmp_path / "raw")) == 5
     assert pipelines.ingest_provider(spark, body, "IBM", "bars", str(tmp_path / "raw")) == 0
+
+
+def test_ranges_and_caps(spark, closes):
+    end, start = datetime.date(2026, 1, 20), datetime.date(2026, 1, 15)
+    whole, part = (pipelines.daily_tables(closes, 5, 10, strict=True, **kw)["daily_risk_summary"] for kw in ({}, {"start": start, "end": end}))
+    assert part.agg({"day": "min"}).first()[0] == start and part.agg({"day": "max"}).first()[0] == end
+    # figures do not depend on where the output begins
+    cols = ["symbol", "day", "volatility_annualized", "historical_var_loss"]
+    assert part.select(cols).exceptAll(whole.select(cols)).count() == 0
+    with pytest.raises(quality.QualityError):
+        pipelines.daily_tables(closes.unionByName(closes.limit(1)), 5, 10, strict=True)
+    returns, parts = pipelines.daily_tables(closes, 5, 10)["daily_returns"], governance.constituent_frame(spark, [mandate()])
+    rule = governance.policy("p", RULE)
+    assert pipelines.portfolio_tables(returns, parts, rule, 5, 10, most={"portfolio_risk_limit_evaluations": 1000})["portfolio_risk_limit_evaluations"].count() > 2
+    with pytest.raises(pipelines.stores.CapExceeded):
+        pipelines.portfolio_tables(returns, parts, rule, 5, 10, most={"portfolio_risk_limit_evaluations": 2})

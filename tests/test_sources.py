@@ -7,7 +7,9 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidegrid.functions.text import json_object, strict_json_object
 from tidegrid.operators import lateness
 from tidegrid.sources import landed, provider, stores
 from tidegrid.sources.io_bench import run_io_benchmark
@@ -161,3 +163,43 @@ def test_tables_are_loaded_by_key(spark, tmp_path, at):
     assert sorted((r.calculation_id, r.return_1d) for r in got.collect()) == [("a", 2.0), ("b", 9.0)]
     with pytest.raises(ValueError):
         stores.load_tables({"other": rows}, folder)
+
+
+def test_fetch_ends_in_time():
+    now = [0.0]
+    waits: list[float] = []
+
+    def sleep(seconds):
+        waits.append(seconds)
+        now[0] += seconds
+
+    with pytest.raises(provider.ProviderError, match="within"):
+        provider.fetch(lambda: (503, b""), retries=50, pause=1.0, sleep=sleep, total_seconds=10, clock=lambda: now[0])
+    assert sum(waits) < 10
+
+
+def test_configuration_of_symbols_and_storage():
+    row = {"symbol": "A", "source": "s", "asset_class": "equity", "reporting_currency": "USD", "effective_from": "2024-01-01"}
+    assert stores.symbol_versions({"symbols": {"equities": [row], "fx": None}}) == [row]
+    for bad in ([row, dict(row)], [{"symbol": "A"}]):
+        with pytest.raises(ValueError):
+            stores.symbol_versions({"symbols": {"equities": bad}})
+    config = {"storage": {"raw": {"base_path": "data/raw", "dataset": "events"}, "curated": {"base_path": "data/curated", "datasets": {"returns_1m": "r"}}}}
+    assert stores.storage_paths(config, "/x/") == {"events": "/x/data/raw/events", "returns_1m": "/x/data/curated/r"}
+    with pytest.raises(ValueError):
+        stores.storage_paths({"storage": {"format": "csv"}})
+
+
+def test_inventory_of_types_and_sizes(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    stores.append_raw(stores.synthetic_events(spark, 50, 4, 3).select(*landed.EVENT_SCHEMA.fieldNames()), path, landed.EVENT_SCHEMA)
+    assert stores.inventory_schema_problems(spark, path, landed.EVENT_SCHEMA, 1 << 30) == []
+    assert {r.problem: r["rows"] for r in stores.inventory_problems(spark, path, landed.EVENT_SCHEMA).collect()}["number_not_finite"] == 0
+    other = T.StructType([T.StructField("price", T.StringType()), T.StructField("lot", T.LongType())])
+    assert len(stores.inventory_schema_problems(spark, path, other, 1)) == 3
+
+
+def test_strict_objects(spark):
+    rows = spark.createDataFrame([('{"a": 1, "a": 2}',), ('{"a": 1}',), ("[]",), (None,)], "j string")
+    got = [tuple(r) for r in rows.select(strict_json_object(F.col("j"), "double"), json_object(F.col("j"), "double")).collect()]
+    assert got == [(None, {"a": 2.0}), ({"a": 1.0}, {"a": 1.0}), (None, None), (None, None)]

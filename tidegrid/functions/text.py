@@ -38,6 +38,12 @@ def signal_name(c: Column) -> Column:
     return F.upper(F.translate(F.trim(c), " -", "__"))
 
 
+def strict_json_object(text: Column, kind: str) -> Column:
+    """``json_object``, but null also for an object that repeats a key."""
+    keys = F.json_object_keys(text)
+    return F.when(F.size(keys) == F.size(F.array_distinct(keys)), json_object(text, kind))
+
+
 def json_object(text: Column, kind: str) -> Column:
     """A JSON object as ``map<string,kind>``; null for null text and for text that is not wholly one object.
 

@@ -57,18 +57,26 @@ def minute(events: DataFrame, signals: DataFrame | None = None, late_seconds: in
     return tables
 
 
-def daily_tables(events: DataFrame, volatility_window: int = 20, var_window: int = 252, confidence: float = 0.95) -> dict[str, DataFrame]:
-    """Events to daily returns and the daily risk summary."""
-    risk = stage(daily.daily_risk(daily.daily_closes(events), volatility_window=volatility_window, var_window=var_window, confidence=confidence), "daily-risk")
+def daily_tables(events: DataFrame, volatility_window: int = 20, var_window: int = 252, confidence: float = 0.95, start: date | None = None, end: date | None = None, strict: bool = False) -> dict[str, DataFrame]:
+    """Events to daily returns and the daily risk summary.
+
+    ``end`` limits what is known, ``start`` only what comes out. ``strict`` takes
+    events that are daily closes and raises QualityError at others; else the last
+    event of a day is its close.
+    """
+    known = daily.validated(events, end) if strict else events.where(F.to_date("ts_event") <= F.lit(end)) if end else events
+    risk = stage(daily.daily_risk(daily.daily_closes(known), volatility_window=volatility_window, var_window=var_window, confidence=confidence), "daily-risk")
+    risk = risk.where(F.col("day") >= F.lit(start)) if start else risk
     returns = risk.select("source", "symbol", F.to_timestamp("day").alias("ts_event"), F.col("return_ingest").alias("ts_ingest"), "return_1d", F.col("return_id").alias("calculation_id"))
     return {"daily_returns": returns, "daily_risk_summary": risk}
 
 
-def portfolio_tables(daily_returns: DataFrame, parts: DataFrame, rule: governance.Version, volatility_window: int = 20, var_window: int = 60, start: date | None = None, end: date | None = None) -> dict[str, DataFrame]:
+def portfolio_tables(daily_returns: DataFrame, parts: DataFrame, rule: governance.Version, volatility_window: int = 20, var_window: int = 60, start: date | None = None, end: date | None = None, most: Mapping[str, int] | None = None) -> dict[str, DataFrame]:
     """Daily returns and constituents to portfolio risk, attribution, limit evaluations and candidates.
 
     ``end`` limits what is known, ``start`` only what comes out: windows use all
-    history before it. Components are matched without regard to case.
+    history before it. Components are matched without regard to case. A table with
+    more rows than ``most`` allows it raises CapExceeded; nothing is cut off.
     """
     known = daily_returns.where(F.to_date("ts_event") <= F.lit(end)) if end else daily_returns
     aligned = stage(portfolio.aligned_components(parts, portfolio.current_returns(known)), "aligned")
@@ -82,13 +90,14 @@ def portfolio_tables(daily_returns: DataFrame, parts: DataFrame, rule: governanc
     evaluations = evaluations.withColumn("ts_event", F.to_timestamp("day")).withColumn("policy_id", F.lit(rule.owner)).withColumn("policy_fingerprint", F.lit(rule.content["limit_fingerprint"]))
     evaluations = evaluations.join(snapshots.select(F.col("calculation_id").alias("attribution_calculation_id"), "ts_ingest"), "attribution_calculation_id")
     moves = limits.transitions(evaluations, ["policy_fingerprint", "portfolio_id", "definition_fingerprint", "metric_name"])
-    return {
+    tables = {
         "portfolio_daily_returns": out(returns),
         "portfolio_daily_risk_summary": out(portfolio.portfolio_risk(returns, volatility_window, var_window)),
         "portfolio_risk_attribution": out(snapshots),
         "portfolio_risk_limit_evaluations": out(evaluations),
         "portfolio_risk_notification_outbox": out(limits.candidates(moves)),
     }
+    return {name: stores.capped(df, most[name]) if most and name in most else df for name, df in tables.items()}
 
 
 def governed(spark: SparkSession, daily_returns: DataFrame, mandates: Sequence[governance.Version], policies: Sequence[governance.Version], start: date, end: date) -> list[tuple[governance.Segment, dict[str, DataFrame]]]:

@@ -22,8 +22,12 @@ class ProviderError(RuntimeError):
     """The provider's answer is an error, or cannot be trusted."""
 
 
-def fetch(transport: Callable[[], tuple[int, bytes]], retries: int = 3, pause: float = 0.25, most_bytes: int = 8 << 20, sleep: Callable[[float], None] = time.sleep) -> bytes:
-    """The body of a successful answer; retryable statuses are tried again after pause * 2 ** n seconds."""
+def fetch(transport: Callable[[], tuple[int, bytes]], retries: int = 3, pause: float = 0.25, most_bytes: int = 8 << 20, sleep: Callable[[float], None] = time.sleep, total_seconds: float = 60.0, clock: Callable[[], float] = time.monotonic) -> bytes:
+    """The body of a successful answer; retryable statuses are tried again after pause * 2 ** n seconds.
+
+    No attempt and no pause begins that would end past ``total_seconds`` from the start.
+    """
+    until = clock() + total_seconds
     for attempt in range(retries + 1):
         code, body = transport()
         if code == 200:
@@ -32,6 +36,8 @@ def fetch(transport: Callable[[], tuple[int, bytes]], retries: int = 3, pause: f
             return body
         if code not in RETRYABLE or attempt == retries:
             raise ProviderError(f"the provider answered {code}")
+        if clock() + pause * 2**attempt >= until:
+            raise ProviderError(f"no answer within {total_seconds} seconds, the last was {code}")
         sleep(pause * 2**attempt)
     raise ProviderError("no attempt was made")
 

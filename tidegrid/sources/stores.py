@@ -202,7 +202,19 @@ def inventory_problems(spark: SparkSession, path: str, schema: T.StructType, key
     wrong = df.where(F.concat_ws("/", *HOUR) != expect).agg(F.count("*").alias("rows")).select(F.lit("wrong_partition").alias("problem"), "rows")
     twice = df.groupBy(key).count().where("count > 1").agg(F.count("*").alias("rows")).select(F.lit("repeated_id").alias("problem"), "rows")
     none = df.where(F.greatest(*(F.col(c).isNull() for c in schema.fieldNames()))).agg(F.count("*").alias("rows")).select(F.lit("missing_field").alias("problem"), "rows")
-    return wrong.unionByName(twice).unionByName(none)
+    numbers = [f.name for f in schema if isinstance(f.dataType, T.DoubleType)]
+    odd = df.where(F.greatest(F.lit(False), F.lit(False), *(F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False)) for c in numbers))).agg(F.count("*").alias("rows")).select(F.lit("number_not_finite").alias("problem"), "rows")
+    return wrong.unionByName(twice).unionByName(none).unionByName(odd)
+
+
+def inventory_schema_problems(spark: SparkSession, path: str, schema: T.StructType, most_bytes: int | None = None) -> list[str]:
+    """What in the files of a raw store differs from the schema: missing columns, other types, a size beyond ``most_bytes``."""
+    stored = {f.name: f.dataType for f in spark.read.option("mergeSchema", "true").parquet(path).schema}
+    problems = [f"no column {f.name}" for f in schema if f.name not in stored]
+    problems += [f"{f.name} is {stored[f.name].simpleString()}, not {f.dataType.simpleString()}" for f in schema if f.name in stored and stored[f.name] != f.dataType]
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
+    return problems + ([f"{size} bytes, more than {most_bytes}"] if most_bytes is not None and size > most_bytes else [])
 
 
 def load_config(path: str) -> dict[str, Any]:
@@ -217,6 +229,31 @@ def load_config(path: str) -> dict[str, Any]:
         return yaml.safe_load(f) or {}
 
 
+def symbol_versions(config: Mapping[str, Any]) -> list[dict[str, Any]]:
+    """The symbol versions of a configuration (``symbols``: lists by class of assets), with no two that start together."""
+    rows = [dict(row) for group in (config.get("symbols") or {}).values() for row in group or []]
+    seen = set()
+    for row in rows:
+        if missing := [k for k in ("symbol", "source", "asset_class", "reporting_currency", "effective_from") if not row.get(k)]:
+            raise ValueError(f"a symbol lacks {missing}")
+        at = (str(row["symbol"]).strip().upper(), row["source"], str(row["effective_from"]))
+        if at in seen:
+            raise ValueError(f"two versions of {at}")
+        seen.add(at)
+    return rows
+
+
+def storage_paths(config: Mapping[str, Any], root: str = "") -> dict[str, str]:
+    """Dataset -> folder of a storage configuration: the raw one by its name, the curated ones by theirs."""
+    storage = config.get("storage") or {}
+    if storage.get("format", "parquet") != "parquet":
+        raise ValueError("only parquet stores are supported")
+    raw, curated = storage.get("raw") or {}, storage.get("curated") or {}
+    join = lambda *parts: "/".join(p.rstrip("/") for p in parts if p)
+    paths = {raw["dataset"]: join(root, raw["base_path"], raw["dataset"])} if raw.get("dataset") else {}
+    return paths | {name: join(root, curated["base_path"], folder) for name, folder in (curated.get("datasets") or {}).items()}
+
+
 def synthetic_events(spark: SparkSession, rows: int, symbols: int = 20, days: int = 10, seed: int = 42) -> DataFrame:
     """Market events made of a seed, the same on every run: prices walk around a level of each symbol."""
     i = F.col("id")
