@@ -9,11 +9,12 @@ their own. Within a block the candidate ends are the nodes of a lattice:
   ordinal) and what follows (case, opening mark), an edge if it makes a unit of
   punctuation only. The cheapest path from the start to the end of the block is its
   segmentation, found in one pass.
-* Spaceless scripts: the run after a closed quotation and the runs around a white
+* Spaceless scripts: the run after a closed quotation and the whole runs around a white
   space gap are segmented by a dictionary word lattice; the gap, a node of the path
-  like the others, is then classified through final particles before it and opening
-  words after it. In Thai, white space between two Thai letters ends a sentence, as
-  the project's definition says; the classes decide the gaps of Lao, Khmer and Burmese.
+  like the others (none within a quotation or a parenthesis), is then classified through
+  final particles before it and opening words after it. The white space itself counts by
+  script: in Thai for more than the classes can take away, as the project's definition
+  ends a sentence between two Thai letters; in Chinese and Japanese for nothing.
 
 The dictionary has the words listed here, and the words of spaceless scripts of a
 public vocabulary file, whose ranks give their costs. Outside of words the lattice
@@ -69,6 +70,9 @@ FINALS = frozenset("です ます でした ました だ である か よ ね
 LATER_CONTINUERS = frozenset("ແລະ ຫຼື ທີ່ ວ່າ ກັບ ໃນ ຂອງ ເພື່ອ និង ឬ ដែល ថា នៅ របស់ ដើម្បី ដោយ နှင့် သို့မဟုတ် ဟု ကို တွင် မှ".split())
 LATER_OPENERS = frozenset("ແຕ່ ດັ່ງນັ້ນ ນອກຈາກນັ້ນ ຫຼັງຈາກນັ້ນ ພວກເຮົາ ຂ້ອຍ ລາວ ມັນ ທ່ານ ກະລຸນາ ເມື່ອ ຖ້າ ຕອນນີ້ ມື້ນີ້ ມື້ວານນີ້ ប៉ុន្តែ ដូច្នេះ លើសពីនេះ បន្ទាប់មក យើង ខ្ញុំ គាត់ ពួកគេ សូម ប្រសិនបើ ពេលដែល ឥឡូវនេះ ថ្ងៃនេះ ម្សិលមិញ သို့သော် ထို့ကြောင့် ထို့နောက် ကျွန်တော် ကျွန်ုပ် သူ ယခု ယနေ့ မနေ့က အကယ်၍".split())
 LATER_FINALS = frozenset("ແລ້ວ ເດີ້ ບໍ ເນາະ ດອກ ហើយ ទេ ផង រួច တယ် ပါတယ် ပြီ မယ် လား ဘူး ပါသည်".split())
+GAP_FINALS, GAP_OPENERS, GAP_CONTINUERS = FINALS | LATER_FINALS, OPENERS | LATER_OPENERS, CONTINUERS | LATER_CONTINUERS
+#: Inflected words of the vocabulary end with a final particle; the Japanese ones of one letter also end other words.
+ENDINGS = tuple(sorted(w for w in GAP_FINALS if len(w) > 1 or w in "了吗呢吧啊"))
 #: Vocabulary file, in the folder of the tokenizers, whose words of spaceless scripts join the dictionary.
 WORDS = "byte_bpe_multi_50k.tiktoken"
 _SPACELESS = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Han}\p{Hiragana}\p{Katakana}ー]{2,}")
@@ -97,8 +101,13 @@ _LOG = regex.compile(r"\s*\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d)?\S*\s+[A-Z]{3,}\
 _MARK = regex.compile(rf"\s*(?:(\d{{1,3}})[.)]|([{regex.escape(BULLETS)}]|\([a-z0-9]{{1,3}}\)))(?=\s)")
 #: Periods inside a number, a name or a file name are no nodes.
 _NODE = regex.compile(rf"(?![.…]+[\p{{Ll}}\p{{Nd}}_])[{FINAL}]+(?:\s?[»›](?!\w)|[{regex.escape(CLOSERS)}])*")
-#: White space between two letters of a script without spaces (Thai, Lao, Burmese, Khmer).
-_GAP = regex.compile(r"(?<=[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff])\s+(?=[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff])")
+_SCRIPTS = r"\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Han}\p{Hiragana}\p{Katakana}ー\u3099\u309a"
+#: White space between two letters of scripts without spaces; no sentence begins with a sign of repetition (ๆ, ໆ, ៗ).
+_GAP = regex.compile(rf"(?V1)(?<=[[{_SCRIPTS}]&&[\p{{L}}\p{{M}}]])\s+(?=[[{_SCRIPTS}]&&[\p{{Lo}}\p{{M}}]])")
+_RUN = regex.compile(rf"[{_SCRIPTS}]+")
+_RUN_BEFORE = regex.compile(rf"(?r)[{_SCRIPTS}]+")
+_THAI_LETTER = regex.compile(r"(?V1)[\p{Thai}&&[\p{Lo}\p{M}]--[ฯ]]")
+_LATER = regex.compile(r"[\p{Lao}\p{Khmer}\p{Myanmar}ฯๆ]")
 _PAIRED = regex.compile(r"[“”„«»‹›「」『』《》（）()\[\]【】\"]")
 _FIRST_WORD = regex.compile(r"\w+")
 _INITIAL = regex.compile(r"\w(?:\.\s|\s)")
@@ -114,10 +123,14 @@ class Lattice:
     def __init__(self, costs: dict[str, float] | None = None):
         self.costs = dictionary() if costs is None else costs
         self.longest = max(map(len, self.costs))
+        lengths: dict[str, set[int]] = {}
+        for word in self.costs:
+            lengths.setdefault(word[-1], set()).add(len(word))
+        self.lengths = {last: sorted(n) for last, n in lengths.items()}
         self.known: dict[str, tuple[str, ...]] = {}
 
     def words(self, run: str) -> tuple[str, ...]:
-        """Cheapest segmentation of a short spaceless run: known words by their costs, other grapheme clusters 3 each."""
+        """Cheapest segmentation of a spaceless run: known words by their costs, other grapheme clusters 3 each."""
         if run in self.known:
             return self.known[run]
         at = {0: 0}  # where clusters begin: no word begins or ends within one
@@ -126,28 +139,30 @@ class Lattice:
         best: dict[int, tuple[float, int]] = {0: (0.0, 0)}
         for end in list(at)[1:]:
             options = [(best[at[end]][0] + 3, at[end])]
-            options += [(best[start][0] + self.costs[run[start:end]], start) for start in range(max(0, end - self.longest), end) if start in best and run[start:end] in self.costs]
+            options += [(best[end - n][0] + self.costs[run[end - n : end]], end - n) for n in self.lengths.get(run[end - 1], ()) if end - n in best and run[end - n : end] in self.costs]
             best[end] = min(options)
         words, end = [], len(run)
         while end:
             start = best[end][1]
             words.append(run[start:end])
             end = start
-        if len(self.known) > 65536:
-            self.known.clear()
-        self.known[run] = tuple(reversed(words))
-        return self.known[run]
+        found = tuple(reversed(words))
+        if len(run) <= 64:
+            if len(self.known) > 16384:
+                self.known.clear()
+            self.known[run] = found
+        return found
 
     def gap_score(self, before: str, after: str) -> int:
         """How much a gap between two spaceless runs looks like a sentence boundary (above 1: yes)."""
-        left, right = self.words(before[-2 * self.longest :]), self.words(after[: 2 * self.longest])
-        score = 1  # white space in a spaceless script
-        score += bool(left and left[-1] in FINALS | LATER_FINALS) + bool(right and right[0] in OPENERS | LATER_OPENERS)
-        return score - 2 * bool(right and right[0] in CONTINUERS | LATER_CONTINUERS)
+        last, first = self.words(unicodedata.normalize("NFC", before))[-1], self.words(unicodedata.normalize("NFC", after))[0]
+        score = min(_white(before[-1]), _white(after[0]))
+        score += (last in GAP_FINALS or last.endswith(ENDINGS)) + (first in GAP_OPENERS)
+        return score - 2 * (first in GAP_CONTINUERS)
 
     def continues(self, after: str) -> bool:
         """Whether the run after a closed quotation goes on with its sentence, by its opening word."""
-        words = self.words(after[: 2 * self.longest])
+        words = self.words(unicodedata.normalize("NFC", after))
         if not words or words[0] in OPENERS:
             return False
         return words[0] in CONTINUERS or not after[0].isspace()
@@ -164,6 +179,13 @@ def _script(ch: str) -> str:
     return "caseless" if unicodedata.category(ch)[0] == "M" and o >= 0x0590 else ""
 
 
+def _white(ch: str) -> int:
+    """How much white space beside this letter counts for the end of a sentence."""
+    if _THAI_LETTER.match(ch):
+        return 4  # the project's definition: more than a continuing word takes away
+    return 1 if _LATER.match(ch) else 0  # Chinese and Japanese sentences end with marks
+
+
 def _inside(block: str) -> list[tuple[int, int]]:
     """Matched quotations and parentheses as (opening, closing) positions."""
     found, stack, wanted = [], [], Counter()
@@ -219,7 +241,9 @@ def _cost(block: str, m: regex.Match, quoted: bool, lattice: Lattice) -> int:
         if kind == "cased":
             return 9 if look[0].islower() and not (hard and spaced and caseless_before) else -5
         if kind in ("cjk", "caseless", "thai"):
-            return 9 if lattice.continues(rest if kind == "cjk" else tail) and not (kind == "caseless" and "।" not in final) else -5
+            after = rest if kind == "cjk" else tail
+            run = _RUN.match(block, end + len(rest) - len(after))
+            return 9 if lattice.continues(run.group() if run else after[: 2 * lattice.longest]) and not (kind == "caseless" and "।" not in final) else -5
         return -5 if look and (look[0] in PAIRS or look[0] in '"¿¡' or spaced) else 9
     if hard and final[-1] not in ".…":
         return -9
@@ -280,7 +304,10 @@ def _period(block: str, at: int, look: str, kind: str, caseless_before: bool) ->
 def _nodes(block: str, lattice: Lattice) -> list[tuple[int, int]]:
     """(end, cost) of the nodes of a block, in order: final marks with their closers, and gaps in spaceless scripts."""
     nodes, pairs, openings, around, ahead = [], None, set(), [], 0
-    for m in _NODE.finditer(block):
+    found = _NODE.finditer(block)
+    if gaps := list(_GAP.finditer(block)):
+        found = sorted([*found, *gaps], key=lambda m: m.start())
+    for m in found:
         if pairs is None:
             pairs = sorted(_inside(block))
             openings = {a for a, _ in pairs}
@@ -295,6 +322,10 @@ def _nodes(block: str, lattice: Lattice) -> list[tuple[int, int]]:
         end, quoted = m.end(), bool(around)
         if quoted and around[0] >= end:
             continue  # such an edge would cut a quotation or a parenthesis
+        if m.re is _GAP:
+            before, after = _RUN_BEFORE.match(block, 0, m.start()), _RUN.match(block, m.end())
+            nodes.append((m.start(), 3 - 2 * lattice.gap_score(before.group(), after.group())))
+            continue
         if not quoted and any(c in CLOSERS for c in m.group()):
             # the closers belong to nothing that was opened before: one may open the next sentence
             while end > m.start() + 1 and block[end - 1] in CLOSERS and end - 1 in openings:
@@ -304,10 +335,6 @@ def _nodes(block: str, lattice: Lattice) -> list[tuple[int, int]]:
             if end < m.end():
                 m = _MARKS_ONLY.match(block, m.start(), end) or m
         nodes.append((m.end(), _cost(block, m, quoted, lattice)))
-    for m in _GAP.finditer(block):
-        # two Thai letters: the rule of this project; other scripts: the lattice decides
-        thai = all(_script(c) == "thai" for c in (block[m.start() - 1], block[m.end()]))
-        nodes.append((m.start(), -9 if thai or lattice.gap_score(block[max(0, m.start() - 24) : m.start()], block[m.end() : m.end() + 24]) > 1 else 9))
     return sorted(set(nodes))
 
 
